@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, sharding
+from . import media, mixing, sharding, simhash
 from .common import table
 
 #: Target weights of the sources; every other source has weight 1.
@@ -20,9 +20,13 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, MIX_WEIGHTS).select("doc_id", "source", "gw_block", "gw_slot", "gw_place")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op4_mix": op4_mix, "op10_media": op10_media}
+QUERIES = {"op1_shard": op1_shard, "op4_mix": op4_mix, "op7_simhash": op7_simhash, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
