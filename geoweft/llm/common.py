@@ -72,7 +72,7 @@ def flat_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarra
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
-    flat, at = lists.flatten(), lists.offsets.to_numpy()
+    flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     at = at - at[0]
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     if not full.all():

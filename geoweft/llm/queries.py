@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, sharding, simhash
+from . import hmm, media, mixing, sharding, simhash
 from .common import table
 
 #: Target weights of the sources; every other source has weight 1.
@@ -24,9 +24,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op4_mix": op4_mix, "op7_simhash": op7_simhash, "op10_media": op10_media}
+QUERIES = {"op1_shard": op1_shard, "op4_mix": op4_mix, "op7_simhash": op7_simhash, "op9_hmm": op9_hmm, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
