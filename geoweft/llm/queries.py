@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, media, mixing, sharding, simhash
+from . import hmm, media, mixing, passages, sharding, simhash, toxicity
 from .common import table
 
 #: Target weights of the sources; every other source has weight 1.
@@ -20,10 +20,19 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, MIX_WEIGHTS).select("doc_id", "source", "gw_block", "gw_slot", "gw_place")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs, *toxicity.fit(docs, labels.where(~toxicity.held_out())))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_scores(table(spark, sf_dir, "documents"))
 
@@ -32,5 +41,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op4_mix": op4_mix, "op7_simhash": op7_simhash, "op9_hmm": op9_hmm, "op10_media": op10_media}
+QUERIES = {"op1_shard": op1_shard, "op4_mix": op4_mix, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op8_passages": op8_passages, "op9_hmm": op9_hmm, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
