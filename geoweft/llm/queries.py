@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, media, mixing, passages, sharding, simhash, toxicity
+from . import decontamination, hmm, media, mixing, passages, sharding, simhash, toxicity
 from .common import table
 
 #: Target weights of the sources; every other source has weight 1.
@@ -25,6 +25,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, *toxicity.fit(docs, labels.where(~toxicity.held_out())))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("gw_text")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op4_mix": op4_mix, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op8_passages": op8_passages, "op9_hmm": op9_hmm, "op10_media": op10_media}
+QUERIES = {"op1_shard": op1_shard, "op4_mix": op4_mix, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op7_simhash": op7_simhash, "op8_passages": op8_passages, "op9_hmm": op9_hmm, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
