@@ -93,3 +93,15 @@ def hashed_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
 def summed(df: DataFrame, key: str = "idx", value: str = "val") -> dict[int, float]:
     """Sum (idx, val) rows that tasks emitted; as many results as the model has parameters."""
     return {r[0]: r[1] for r in df.groupBy(key).agg(F.sum(value)).collect()}
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 6_000_000) -> list[pa.RecordBatch]:
+    """The batch in pieces of about so many bytes of text (one row at least)."""
+    if not batch.num_rows:
+        return []
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0]
+    while cuts[-1] < len(size):
+        before = size[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(size, before + most, side="right"))))
+    return [batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 RATE = 8000
 MU_LAW, A_LAW, IMA_ADPCM, PCM = 7, 6, 0x11, 1  # format tags of WAVE
@@ -142,7 +143,7 @@ def stored_pcm(media: DataFrame, column: str = "media", to: int = 16000) -> Data
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "pcm"])
 
-    return media.mapInArrow(decode, media.schema.add("pcm", "binary"))
+    return media.mapInArrow(decode, StructType(list(media.schema.fields)).add("pcm", "binary"))
 
 
 def features(payload: np.ndarray) -> str:
