@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, hmm, media, mixing, passages, quality, sharding, simhash, toxicity
+from . import decontamination, hmm, media, mixing, passages, quality, secretscan, sharding, simhash, toxicity
 from .common import table
 
 #: Target weights of the sources; every other source has weight 1.
@@ -21,6 +21,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[judged[f"gw_{c}"].alias(c) for c in ("score", "text_score", "meta_score", "keep")])
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secretscan.grown(secretscan.example_findings(spark))
+    return secretscan.scanned(table(spark, sf_dir, "documents"), forest)
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, MIX_WEIGHTS).select("doc_id", "source", "gw_block", "gw_slot", "gw_place")
@@ -51,5 +56,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op2_quality": op2_quality, "op4_mix": op4_mix, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op7_simhash": op7_simhash, "op8_passages": op8_passages, "op9_hmm": op9_hmm, "op10_media": op10_media}
+QUERIES = {"op1_shard": op1_shard, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_mix": op4_mix, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op7_simhash": op7_simhash, "op8_passages": op8_passages, "op9_hmm": op9_hmm, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
