@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 UNIT = re.compile(r"[^\s][^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 UNITS = "doc_id bigint, row_key bigint, unit int, start int, stop int, words int, high bigint, low bigint"
@@ -27,7 +27,7 @@ def units(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             cols: list[list] = [[] for _ in range(8)]
             add = [c.append for c in cols]
             for d, k, t in zip(b.column("doc_id").to_pylist(), b.column("row_key").to_pylist(), b.column("text").to_pylist(), strict=True):
