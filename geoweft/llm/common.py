@@ -71,6 +71,7 @@ def flat_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarra
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = texts.take(pa.array(np.arange(len(texts)))) if texts.offset else texts
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     at = at - at[0]
@@ -96,7 +97,7 @@ def summed(df: DataFrame, key: str = "idx", value: str = "val") -> dict[int, flo
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 6_000_000) -> list[pa.RecordBatch]:
-    """The batch in pieces of about so many bytes of text (one row at least)."""
+    """The batch in pieces of about so many bytes of text (one row at least); copies, as kernels misread strings of an array with an offset."""
     if not batch.num_rows:
         return []
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -104,4 +105,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 6_000_000) -
     while cuts[-1] < len(size):
         before = size[cuts[-1] - 1] if cuts[-1] else 0
         cuts.append(max(cuts[-1] + 1, int(np.searchsorted(size, before + most, side="right"))))
-    return [batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [batch.take(pa.array(np.arange(a, b))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
