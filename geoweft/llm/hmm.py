@@ -20,11 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, hashed_words, summed, written
+from .common import crc_of_id, hashed_words, slices, summed, written
 
 #: The end of a text counts as the empty word.
 END = int(np.uint64(xxhash.xxh64_intdigest(b"", 42)).view(np.int64))
-TOKENS = 400_000  # of one batch in memory
+TOKENS = 250_000  # of one batch in memory
 LN10 = float(np.log(10))
 
 
@@ -154,11 +154,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             u, back = np.unique(h, return_inverse=True)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(back, n).astype(np.int64))], names=["h", "n"])
 
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             uniq, idx, _ = hashed_words(b.column("text"))
             held.append((np.append(uniq, END), np.append(np.bincount(idx, minlength=len(uniq)), b.num_rows)))
             size += len(uniq) + 1
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield merged()
                 held, size = [], 0
         if held:
@@ -204,7 +204,7 @@ def train(docs: DataFrame, states: int = 8, classes: int = 4096, rounds: int = 2
 
         def counts(batches: Iterator[pa.RecordBatch], now=now, k=k) -> Iterator[pa.RecordBatch]:
             total = np.zeros(1 + k + k * k + k * (classes + 1))
-            for b in batches:
+            for b in (x for whole in batches for x in slices(whole)):
                 seq, at = class_sequences(b.column("text"), classes, cut=512)
                 s, m, e, log = expected(now, seq, at)
                 total += np.concatenate([[log], s, m.ravel(), e.ravel()])
@@ -239,7 +239,7 @@ def scored(docs: DataFrame, lang: Language, held_out) -> DataFrame:
 
         model, (head_h, head_c), class_n, class_v = sent.value
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             uniq, idx, at = hashed_words(b.column("text"))
             n = np.diff(at)
             rows = len(n)
@@ -253,7 +253,7 @@ def scored(docs: DataFrame, lang: Language, held_out) -> DataFrame:
             per_row = lambda x: np.bincount(rows_of, x[idx], rows) if len(idx) else np.zeros(rows)
             seq, sat = class_sequences_of(klass, idx, at, classes)
             logs = np.zeros(rows)
-            for group in packed(sat, 2_000_000):
+            for group in packed(sat, 1_000_000):
                 logs[group] = forward(model, seq, sat[:-1][group], np.diff(sat)[group])[0]
             rare = np.flatnonzero(~known[idx]) if len(idx) else np.zeros(0, int)
             pair, times = np.unique(rows_of[rare] * np.int64(len(uniq) + 1) + idx[rare], return_counts=True)
