@@ -468,9 +468,9 @@ def pixels(spark, d):
     return load(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("row"), (F.col("l_partkey") % 40).alias("col"), F.col("l_orderkey").alias("ds"), F.col("l_linenumber").alias("ln"), value.alias("value"))
 
 
-@query(f"""WITH {PIXELS} SELECT "row", col, value FROM (SELECT *, row_number() OVER (PARTITION BY "row", col ORDER BY ds DESC, ln DESC) AS n FROM px WHERE value IS NOT NULL) WHERE n = 1""")
+@query(f"""WITH {PIXELS} SELECT "row", col, value FROM (SELECT *, row_number() OVER (PARTITION BY "row", col ORDER BY ds DESC, ln DESC, value DESC) AS n FROM px WHERE value IS NOT NULL) WHERE n = 1""")
 def mosaic_last_valid(spark, d):
-    return raster.mosaic(pixels(spark, d), ["ds", "ln"])
+    return raster.mosaic(pixels(spark, d), ["ds", "ln", "value"])
 
 
 @query(f"""WITH {PIXELS} SELECT "row" // 4 AS out_row, col // 4 AS out_col, round(avg(value), 6) AS value FROM px WHERE value IS NOT NULL GROUP BY 1, 2""")
