@@ -57,4 +57,19 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_shard": op1_shard, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_mix": op4_mix, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op7_simhash": op7_simhash, "op8_passages": op8_passages, "op9_hmm": op9_hmm, "op10_media": op10_media}
-ORACLE_SQL: dict[str, str] = {}
+#: Of the items, which all have five words or more: every window with an aligned shared shingle, its multiset similarity, and the best start.
+DECONTAMINATION_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t-\\r]+'), lambda w: w <> '') AS w FROM documents),
+ds AS (SELECT doc_id, len(w) - 4 AS m, unnest(range(0, greatest(len(w) - 4, 0))) AS p, w FROM d),
+s AS (SELECT doc_id, m, p, array_to_string(list_slice(w, p + 1, p + 5), ' ') AS sh FROM ds),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t-\\r]+'), lambda w: w <> '') AS w FROM benchmark),
+bs AS (SELECT item_id, len(w) - 4 AS n, unnest(range(0, greatest(len(w) - 4, 0))) AS o, w FROM b),
+i AS (SELECT item_id, n, o, array_to_string(list_slice(w, o + 1, o + 5), ' ') AS sh FROM bs),
+c AS (SELECT DISTINCT s.doc_id, i.item_id, n, m, greatest(0, least(p - o, m - n)) AS start FROM s JOIN i USING (sh)),
+win AS (SELECT c.doc_id, item_id, n, c.m, start, sh, count(*) AS k FROM c JOIN s ON s.doc_id = c.doc_id AND s.p >= start AND s.p < start + n GROUP BY ALL),
+ic AS (SELECT item_id, sh, count(*) AS k FROM i GROUP BY ALL),
+x AS (SELECT doc_id, item_id, n, m, start, sum(least(win.k, ic.k)) AS common FROM win JOIN ic USING (item_id, sh) GROUP BY ALL),
+y AS (SELECT doc_id, item_id, start, CAST(common AS DOUBLE) / CAST(least(n, m - start) + n - common AS DOUBLE) AS similarity FROM x)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start_word, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS nth FROM y WHERE similarity >= 0.8) WHERE nth = 1
+"""
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": DECONTAMINATION_SQL}
