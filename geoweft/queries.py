@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import cells, geodesy, globs, rings, tiles, values
+from .functions import cells, geodesy, globs, projections, rings, tiles, values
 from .operators import aggregates, fences, graph, joins, raster, search, tracks
 from .plans import commands, where
+from .plans import points as texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -534,3 +535,76 @@ def box_join(spark, d):
     a = points(spark, d).select("id", F.col("lon").alias("min_x"), F.col("lat").alias("min_y"), (F.col("lon") + 3 + F.col("id") % 4).alias("max_x"), (F.col("lat") + 2 + F.col("id") % 3).alias("max_y"))
     b = sites(spark, d).select("site", F.col("rlon").alias("rmin_x"), F.col("rlat").alias("rmin_y"), (F.col("rlon") + 5).alias("rmax_x"), (F.col("rlat") + 4).alias("rmax_y"))
     return joins.box_join(a, b, 4.0).select("id", "site")
+
+
+@query(f"""WITH {PTS} SELECT id, CAST(CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lat < 84 AND lon >= 0 AND lon < 42 THEN (CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END)
+ ELSE (floor((lon + 180) / 6)::INTEGER % 60) + 1 END AS INTEGER) AS zone, CASE WHEN lat BETWEEN -80 AND 84 THEN substr('CDEFGHJKLMNPQRSTUVWX', CAST(least(floor((lat + 80) / 8), 19) AS BIGINT) + 1, 1) ELSE 'Z' END AS letter FROM pts""")
+def utm_zone(spark, d):
+    return points(spark, d).select("id", projections.utm_zone("lat", "lon").alias("zone"), projections.utm_letter("lat").alias("letter"))
+
+
+@query(f"""WITH {PTS}, k AS (SELECT ln(cos(radians(33.0)) / cos(radians(45.0))) / ln(tan(pi() / 4 + radians(45.0) / 2) / tan(pi() / 4 + radians(33.0) / 2)) AS n), g AS (SELECT n, cos(radians(33.0)) * power(tan(pi() / 4 + radians(33.0) / 2), n) / n AS f FROM k),
+ r AS (SELECT id, f / power(tan(pi() / 4 + radians(lat) / 2), n) AS rho, n * radians(lon + 96.0) AS t, f / power(tan(pi() / 4 + radians(39.0) / 2), n) AS rho0 FROM pts, g WHERE lat BETWEEN 10 AND 70) SELECT id, round(rho * sin(t) * 6378137.0, 2) AS x, round((rho0 - rho * cos(t)) * 6378137.0, 2) AS y FROM r""")
+def lambert_conic(spark, d):
+    x, y = projections.lcc("lat", "lon", 33.0, 45.0, 39.0, -96.0)
+    return points(spark, d).where("lat between 10 and 70").select("id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
+@query(f"WITH {PTS} SELECT id, collection FROM pts WHERE collection <> 'AUTOMOBILE' AND (contains(id::VARCHAR, '7') OR starts_with(id::VARCHAR, '12'))")
+def filter_text(spark, d):
+    return points(spark, d).where(texts.parse_filter("collection != AUTOMOBILE AND (id ~ 7 OR id ^ 12)")).select("id", "collection")
+
+
+@query(f"WITH {PTS} SELECT id, round({hav('lat', 'lon', '10.0', '20.0')}, 6) AS dist_km FROM pts WHERE collection = 'BUILDING' AND {hav('lat', 'lon', '10.0', '20.0')} <= 5000 ORDER BY 2, 1 LIMIT 12")
+def nearby_text(spark, d):
+    return texts.run(points(spark, d), "NEARBY BUILDING 10 20 5000 LIMIT 12").select("id", r6("dist_km").alias("dist_km"))
+
+
+@query(f"WITH {PTS} SELECT id, ts FROM pts WHERE collection = 'MACHINERY' AND lat BETWEEN -30 AND 30 AND lon BETWEEN -60 AND 60")
+def within_text(spark, d):
+    return texts.run(points(spark, d), "WITHIN MACHINERY -30 -60 30 60 LIMIT 10000").select("id", "ts")
+
+
+@query(f"""WITH {PTS}, q AS (SELECT id, radians(lat) AS q, radians(lon) AS p, radians(10.0) AS s, radians(20.0) AS w, radians(30.0) AS n, radians(50.0) AS e FROM pts),
+ t AS (SELECT *, CASE WHEN w - p < 0 THEN w - p + 2 * pi() ELSE w - p END AS dw, CASE WHEN p - e < 0 THEN p - e + 2 * pi() ELSE p - e END AS de FROM q), u AS (SELECT *, least(dw, de) AS d, CASE WHEN dw <= de THEN w ELSE e END AS g FROM t),
+ v AS (SELECT *, 2 * asin(least(1.0, sqrt(power(sin((q - n) / 2), 2) + power(sin((p - g) / 2), 2) * cos(q) * cos(n)))) AS cn, 2 * asin(least(1.0, sqrt(power(sin((q - s) / 2), 2) + power(sin((p - g) / 2), 2) * cos(q) * cos(s)))) AS cs FROM u)
+ SELECT id, round(6371000.0 * CASE WHEN w <= p AND p <= e THEN (CASE WHEN q < s THEN s - q WHEN q > n THEN q - n ELSE 0.0 END) WHEN d >= pi() / 2 THEN (CASE WHEN tan(q) >= tan((n + s) / 2) * cos(d) THEN cn ELSE cs END)
+ WHEN tan(q) >= tan(n) * cos(d) THEN cn WHEN tan(q) <= tan(s) * cos(d) THEN cs ELSE asin(cos(q) * sin(d)) END, 3) AS meters FROM v""")
+def rect_distance(spark, d):
+    return points(spark, d).select("id", F.round(geodesy.point_rect_m("lat", "lon", 10.0, 20.0, 30.0, 50.0), 3).alias("meters"))
+
+
+@query(f"WITH {PTS} SELECT CAST(CASE WHEN lat >= 0 THEN 0 ELSE 2 END + CASE WHEN lon >= 0 THEN 1 ELSE 0 END AS INTEGER) AS quadrant, count(*) AS n FROM pts GROUP BY 1")
+def quadrant_counts(spark, d):
+    return points(spark, d).groupBy(cells.quadrant("lat", "lon", 0.0, 0.0).cast("int").alias("quadrant")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POS}, l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) AS n FROM pos) SELECT id, seq, lat, lon FROM l WHERE n = 1")
+def last_point(spark, d):
+    p = positions(spark, d)
+    return p.groupBy("id").agg(F.max_by(F.struct("seq", "lat", "lon"), F.struct("ts", "seq")).alias("p")).select("id", "p.*")
+
+
+@query("SELECT o_custkey AS record, CAST(count(*) AS INTEGER) AS n, CAST(arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS BIGINT) AS first FROM orders GROUP BY 1")
+def datasets_by_record(spark, d):
+    o = load(spark, d, "orders").select(F.col("o_custkey").alias("record"), F.col("o_orderdate").alias("datetime"), F.col("o_orderkey").alias("dataset"))
+    g = raster.datasets_by_record(o)
+    return g.select("record", F.size("datasets").alias("n"), F.get("datasets", 0)["dataset"].alias("first"))
+
+
+@query("SELECT p_partkey AS id, CAST(round(CASE WHEN p_size <= 10 THEN 0.0 WHEN p_size <= 30 THEN 0 + 200 * (p_size - 10.0) / 20 WHEN p_size <= 50 THEN 200 + 55 * (p_size - 30.0) / 20 ELSE 255.0 END) AS INTEGER) AS r FROM part")
+def colour_map(spark, d):
+    colour = raster.palette("p_size", [(10.0, 0, 0, 0), (30.0, 200, 10, 0), (50.0, 255, 255, 255)])
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), colour["r"].alias("r"))
+
+
+@query(f"""WITH {PIXELS} SELECT "row" // 10 AS out_row, col // 10 AS out_col, median(value) AS value FROM px WHERE value IS NOT NULL GROUP BY 1, 2""")
+def resample_median(spark, d):
+    return raster.resampled(pixels(spark, d), 10, "med")
+
+
+@query("""SELECT kind, k, v, count(*) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END AS kind, event_type AS k, props->>'k' AS v FROM events) WHERE kind = 'way' GROUP BY ALL""")
+def osm_tag_counts(spark, d):
+    kind = F.expr("CASE event_id % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END")
+    e = load(spark, d, "events").select(kind.alias("kind"), F.create_map(F.col("event_type"), F.get_json_object("props", "$.k")).alias("tags"))
+    return aggregates.tag_counts(e).where("way > 0").select(F.lit("way").alias("kind"), F.col("key").alias("k"), F.col("value").alias("v"), F.col("way").alias("n"))
