@@ -199,10 +199,10 @@ def hilbert(x: int, y: int) -> int:
 
 
 def level_sizes(n: int, node: int) -> list[int]:
+    """Nodes by level, leaves first; even a single leaf has a root above it."""
     out = [n]
-    while n > 1:
-        n = math.ceil(n / node)
-        out.append(n)
+    while len(out) < 2 or out[-1] > 1:
+        out.append(math.ceil(out[-1] / node))
     return out
 
 
@@ -232,7 +232,7 @@ def write(path: str, rows: list[tuple], columns: list[tuple[str, str]], name: st
             levels = [level]
             for i in range(1, len(sizes)):
                 below = levels[-1]
-                levels.append([(*[g(b[j] for b in below[k : k + node]) for j, g in enumerate((min, min, max, max))], (starts[i - 1] + k) * 40) for k in range(0, len(below), node)])
+                levels.append([(*[g(b[j] for b in below[k : k + node]) for j, g in enumerate((min, min, max, max))], starts[i - 1] + k) for k in range(0, len(below), node)])
             for level in reversed(levels):
                 f.write(b"".join(struct.pack("<4dQ", *n) for n in level))
         f.write(b"".join(bodies))
@@ -267,7 +267,7 @@ class File:
                 f.seek(self.index + 40 * first)
                 for a, b, c, d, o in struct.iter_unpack("<4dQ", f.read(40 * (last - first))):
                     if box is None or a <= box[2] and c >= box[0] and b <= box[3] and d >= box[1]:
-                        hit.append(o if level == 0 else o // 40)
+                        hit.append(o)
             if level == 0:
                 return hit
             nodes, level = hit, level - 1

@@ -33,6 +33,8 @@ def test_indexed_read(spark, tmp_path):
         want = {i for w, i in rows if box[0] <= geo.from_wkb(w)["coordinates"][0] <= box[2] and box[1] <= geo.from_wkb(w)["coordinates"][1] <= box[3]}
         got = spark.read.format("geofgb").option("path", str(tmp_path / "b.fgb")).option("bbox", ",".join(map(str, box))).load()
         assert {r["id"] for r in got.collect()} == want
+    fgb.write(str(tmp_path / "d.fgb"), rows[:1], [("id", "int")])
+    assert spark.read.format("geofgb").option("path", str(tmp_path / "d.fgb")).load().count() == 1
     fgb.write(str(tmp_path / "c.fgb"), rows[:50], [("id", "int")], node=0)
     assert spark.read.format("geofgb").option("path", str(tmp_path / "c.fgb")).load().count() == 50
 
