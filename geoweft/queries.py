@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells, geodesy, globs, projections, rings, tiles, values
-from .operators import aggregates, fences, graph, joins, raster, search, tracks
+from .operators import aggregates, catalog, fences, graph, joins, raster, search, tracks
 from .plans import commands, where
 from .plans import points as texts
 
@@ -608,3 +608,18 @@ def osm_tag_counts(spark, d):
     kind = F.expr("CASE event_id % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END")
     e = load(spark, d, "events").select(kind.alias("kind"), F.create_map(F.col("event_type"), F.get_json_object("props", "$.k")).alias("tags"))
     return aggregates.tag_counts(e).where("way > 0").select(F.lit("way").alias("kind"), F.col("key").alias("k"), F.col("value").alias("v"), F.col("way").alias("n"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderpriority LIKE '1-%' AND o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1997-06-30'")
+def record_filters(spark, d):
+    tags = F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus"))
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("order").alias("name"), F.col("o_orderdate").alias("datetime"), tags.alias("tags"))
+    day = lambda s: F.lit(s).cast(o.schema["datetime"].dataType)
+    return catalog.records(o, "ord*", {"priority": "1-*", "status": "O"}, day("1995-01-01 00:00:00"), day("1997-06-30 00:00:00")).select("id")
+
+
+@query(f"""WITH {PTS}, a AS (SELECT id, unnest(range(floor(lon / 2)::BIGINT, floor((lon + 3) / 2)::BIGINT + 1)) AS i, lat FROM pts), b AS (SELECT id, i, unnest(range(floor(lat / 2)::BIGINT, floor((lat + 1.5) / 2)::BIGINT + 1)) AS j FROM a)
+ SELECT id, i || '/' || j AS cell, CAST(i * 2 AS DOUBLE) AS x0, CAST(j * 2 + 2 AS DOUBLE) AS y1 FROM b""")
+def layout_cells(spark, d):
+    boxes = points(spark, d).select("id", F.col("lon").alias("min_x"), F.col("lat").alias("min_y"), (F.col("lon") + 3).alias("max_x"), (F.col("lat") + 1.5).alias("max_y"))
+    return catalog.layout_cells(boxes, 2.0).select("id", "cell", "x0", "y1")
