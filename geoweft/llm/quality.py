@@ -8,7 +8,6 @@ views' log-odds are calibrated and combined by a logistic fit on labelled rows t
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,17 +22,18 @@ from pyspark.sql.types import StructType
 from .common import flat_words, slices, summed, written
 
 SHAPES, SOURCES, LANGS, LENGTHS = 16, 32, 8, 10
-RUNS = re.compile(r"(.)\1+")
 #: Classes of bytes: lower case, upper case, digit, space, line end, | and >, other ASCII, beyond ASCII.
 BYTE_CLASS = np.array([0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b in (32, 9) else 4 if b in (10, 13) else 5 if b in (124, 62) else 7 if b > 127 else 6 for b in range(256)], np.uint8)
 TEXT_DIM = 8 + 9 + SHAPES
 META_DIM = SOURCES + LANGS + LENGTHS
 
 
-def shape_of(word: str) -> int:
-    """A bucket for the word's outline: letters, digits and signs with runs collapsed."""
-    outline = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in word[:24])
-    return zlib.crc32(RUNS.sub(r"\1", outline).encode()) % SHAPES
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """A bucket for each word's outline: runs of letters, digits and signs count as one, signs as their first."""
+    for pattern, to in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"\d+", "0"), (r"([^aA0])[^aA0]*", r"\1")):
+        words = pc.replace_substring_regex(words, pattern=pattern, replacement=to)
+    coded = words.dictionary_encode()
+    return np.array([zlib.crc32(w.encode()) % SHAPES for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
 
 
 def text_features(texts: pa.Array) -> np.ndarray:
@@ -47,7 +47,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
     chars = np.bincount(row + BYTE_CLASS[raw], minlength=8 * n).reshape(n, 8) / np.maximum(size, 1)[:, None]
     flat, at = flat_words(texts, lower=False)
     coded = flat.dictionary_encode()
-    words, idx, count = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.diff(at)
+    words, idx, count = coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.diff(at)
     of = np.repeat(np.arange(n), count)
     u, some = max(len(words), 1), np.maximum(count, 1)
     pairs, times = np.unique(of * u + idx, return_counts=True)
@@ -59,12 +59,12 @@ def text_features(texts: pa.Array) -> np.ndarray:
     key = np.sort((of[:-1][inside] << 44) ^ ((twice[inside] * np.int64(0x9E3779B97F4A7C1)) & ((1 << 44) - 1))) if len(idx) else idx
     fresh = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
     bigrams = np.bincount(fresh >> 44, minlength=n) / np.maximum(count - 1, 1)
-    lengths = np.fromiter((len(w) for w in words), np.float64, len(words))
-    alpha = np.fromiter((w[-1:].isalnum() for w in words), np.float64, len(words))
+    lengths = pc.utf8_length(words).to_numpy().astype(np.float64)
+    alpha = pc.utf8_is_alnum(pc.utf8_slice_codeunits(words, -1)).to_numpy(zero_copy_only=False).astype(np.float64)
     mean = lambda x: np.bincount(of, x[idx], n) / some if len(idx) else np.zeros(n)
     shapes = np.zeros((n, SHAPES))
     if len(idx):
-        kind = np.fromiter((shape_of(w) for w in words), np.int64, len(words))
+        kind = shapes_of(words)
         shapes = np.bincount(of * SHAPES + kind[idx], minlength=n * SHAPES).reshape(n, SHAPES) / some[:, None]
     average = mean(lengths)
     rest = [np.log1p(size), np.log1p(count), average, np.sqrt(np.maximum(mean(lengths**2) - average**2, 0)), distinct, top / some, bigrams, mean(alpha), np.log1p(count) * distinct]
