@@ -15,6 +15,7 @@ from .functions import cells, geodesy, globs, projections, rings, tiles, values
 from .operators import aggregates, catalog, fences, graph, joins, raster, search, tracks
 from .plans import commands, where
 from .plans import points as texts
+from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +32,7 @@ def query(sql: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
