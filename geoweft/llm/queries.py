@@ -45,7 +45,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated(table(spark, sf_dir, "documents")).drop("row_key")
+    return passages.repeated(table(spark, sf_dir, "documents"), short_lines=True).drop("row_key")
 
 
 def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
