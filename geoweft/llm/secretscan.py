@@ -1,6 +1,6 @@
 """Secret scan, native DataFrame operations only: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of 16 or more key characters within a word. The forest sees length, changes of character class, digit and capital
+Candidates are all runs of 16 or more key characters within a word. The forest sees length, changes of character class, digit and capital
 shares, distinct characters, coverage by dictionary words, the path, and the neighbouring words. It is grown from labelled findings, one
 aggregation a level for all trees: sums of weights by tree, node, feature and bin, whose number the forest's size bounds. Bootstrap
 weights and feature choices come from hashes, so the same findings give the same forest on any cluster.
@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST = 16
+RUN = f"[A-Za-z0-9+/_.-]{{{LEAST},}}={{0,2}}"
+#: What parts the fields of a word that holds several candidates.
+PARTS = ",;&?{}\\[\\]"
 BINS = 16
 #: Common words and syllables of written languages and of names; what they cover of a candidate looks like prose.
 DICTIONARY = ("the|and|that|this|with|for|are|was|not|tion|ing|ment|ent|ion|ther|here|ere|ous|able|ed|er|es|en|on|in|an|at|st|th|re|nd|ou|ha|he|ti|ly|sh|wh|"
@@ -45,7 +48,10 @@ def features() -> Column:
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, word_no (from 1), cand, raw, before, before2, after, path of every candidate in the whole texts."""
+    """doc_id, word_no (from 1), cand, raw, before, before2, after, path of every candidate in the whole texts.
+
+    A word with several candidates gives each its own field (between separators) as raw, and the text before it there as neighbour.
+    """
     words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
     rows = docs.select("doc_id", F.col(path).cast("string").alias("path"), F.explode(F.array(words)).alias("w"))
     at = F.filter(F.transform("w", lambda x, i: F.when(F.length(x) >= LEAST, i)), lambda i: i.isNotNull())
@@ -53,7 +59,17 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     w = F.col("w")
     one = lambda i: F.struct((i + 1).alias("word_no"), F.get(w, i).alias("raw"), F.get(w, i - 1).alias("before"), F.get(w, i - 2).alias("before2"), F.get(w, i + 1).alias("after"))
     rows = rows.select("doc_id", "path", F.explode(F.transform("at", one)).alias("c")).select("doc_id", "path", "c.*")
-    return rows.withColumn("cand", F.regexp_extract("raw", f"([A-Za-z0-9+/_.-]{{{LEAST},}}={{0,2}})", 1)).where("cand <> ''")
+    marked = F.regexp_replace(F.translate("raw", "\x01\x02", "\x03\x03"), RUN, "\x01$0\x02")
+    rows = rows.select("*", F.explode(F.array(F.split(marked, "\x01"))).alias("p"))
+    cand, tail = (lambda x: F.substring_index(x, "\x02", 1)), (lambda x: F.substring_index(x, "\x02", -1))
+    rows = rows.select("*", F.explode(F.transform("p", lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.translate(F.get("p", i - 1), "\x02", "").alias("y")))).alias("q")).where("q.i > 0")
+    rows = rows.select("*", (F.size("p") > 2).alias("several"), cand(F.col("q.x")).alias("cand"), F.regexp_extract("q.y", f"[^{PARTS}]*$", 0).alias("own"), F.regexp_extract(tail(F.col("q.x")), f"^[^{PARTS}]*", 0).alias("rest"))
+    named, last = F.col("several") & F.col("own").rlike("[A-Za-z0-9]"), F.col("q.i") == F.size("p") - 1
+    return rows.select(
+        "doc_id", "path", "word_no", F.when(F.col("several"), F.concat("own", "cand", "rest")).otherwise(F.col("raw")).alias("raw"),
+        F.when(named, F.rtrim(F.col("own"), F.lit("\"'`"))).otherwise(F.col("before")).alias("before"),
+        F.when(~named, F.col("before2")).when(F.col("q.i") == 1, F.col("before")).alias("before2"), F.when(last, F.col("after")).alias("after"), "cand",
+    )
 
 
 def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
