@@ -17,7 +17,8 @@ MOST = 10_000
 MAX_RADIUS_KM = 20037.50834
 
 
-def run(points: DataFrame, text: str) -> DataFrame:
+def run(points: DataFrame, text: str, default: int | None = 100) -> DataFrame:
+    """The rows a text asks for; a text without LIMIT gets `default` rows, all of them if that is None."""
     words = Words(text.split())
     name, collection = words.take().upper(), words.take()
     rows = points.where(F.col("collection") == collection)
@@ -25,12 +26,12 @@ def run(points: DataFrame, text: str) -> DataFrame:
         lat, lon, km = words.number(-90, 90), words.number(-180, 180), words.number(0, MAX_RADIUS_KM)
         if km <= 0:
             raise ValueError("radius must be positive")
-        out = search.radius_search(rows, lat, lon, km, limit=limit(words))
+        out = search.radius_search(rows, lat, lon, km, limit=limit(words, default))
     elif name == "WITHIN":
         box = [words.number(-90, 90), words.number(-180, 180), words.number(-90, 90), words.number(-180, 180)]
         if box[0] > box[2]:
             raise ValueError("box is upside down")
-        out = search.box_search(rows, *box, limit=limit(words))
+        out = search.box_search(rows, *box, limit=limit(words, default))
     else:
         raise ValueError(f"unknown query {name!r}")
     if words.peek():
@@ -38,9 +39,9 @@ def run(points: DataFrame, text: str) -> DataFrame:
     return out
 
 
-def limit(words: Words) -> int:
+def limit(words: Words, default: int | None = 100) -> int | None:
     if words.peek() != "LIMIT":
-        return 100
+        return default
     words.take()
     return int(words.number(1, MOST))
 

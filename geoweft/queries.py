@@ -564,7 +564,7 @@ def nearby_text(spark, d):
 
 @query(f"WITH {PTS} SELECT id, ts FROM pts WHERE collection = 'MACHINERY' AND lat BETWEEN -30 AND 30 AND lon BETWEEN -60 AND 60")
 def within_text(spark, d):
-    return texts.run(points(spark, d), "WITHIN MACHINERY -30 -60 30 60 LIMIT 10000").select("id", "ts")
+    return texts.run(points(spark, d), "WITHIN MACHINERY -30 -60 30 60", default=None).select("id", "ts")
 
 
 @query(f"""WITH {PTS}, q AS (SELECT id, radians(lat) AS q, radians(lon) AS p, radians(10.0) AS s, radians(20.0) AS w, radians(30.0) AS n, radians(50.0) AS e FROM pts),
