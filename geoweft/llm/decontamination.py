@@ -5,8 +5,8 @@ shingle weighted by its count). Fingerprints are indexed by `radius` + 1 blocks
 in at least one block, so the join on blocks finds every item within the radius of a window. Candidates are verified by the exact
 weighted similarity of their shingle multisets (sum of least counts over sum of greatest counts).
 
-Windows that share no shingle with an item have similarity 0, so only windows in which at least one shared shingle is aligned
-are fingerprinted. The look-up of shared shingles is a table in each executor; items are taken in blocks of at most `block` shingles,
+A window is as similar to an item as asked for only if it has enough positions with a shingle of the item, so all windows that have,
+at any start and in any order of the shingles, are fingerprinted, and no others. The look-up of shared shingles is a table in each executor; items are taken in blocks of at most `block` shingles,
 each with a pass over the documents, so the table's size is bounded for any benchmark.
 """
 
@@ -89,8 +89,12 @@ def shared_table(items: list[tuple]) -> tuple[Column, int]:
     return literal(table, "array<array<struct<h: bigint, i: bigint, o: int, n: int>>>"), slots
 
 
-def windows(docs: DataFrame, width: int, items: list[tuple]) -> DataFrame:
-    """doc_id, gw_text, item (index), start, n and win (shingles) of every window with an aligned shared shingle."""
+def windows(docs: DataFrame, width: int, items: list[tuple], least: float) -> DataFrame:
+    """doc_id, gw_text, item (index), start, last (no later start), n and win (shingles) of every window with enough shared shingles for `least`.
+
+    In the sorted codes (item, position of a shared shingle), the one that is as many places on as shingles are needed, less one, has
+    to be of the same item and within its length; the starts that hold both are those of the windows.
+    """
     table, slots = shared_table(items)
     entries = lambda h: F.get(table, F.pmod(h, F.lit(slots)).cast("int"))
     rows = bound(docs.select("doc_id", F.xxhash64("text").alias("gw_text"), "text"), "gw_w", word_hashes(F.col("text"))).drop("text")
@@ -100,15 +104,24 @@ def windows(docs: DataFrame, width: int, items: list[tuple]) -> DataFrame:
 
     def codes(p: Column) -> Column:
         h = F.get(F.col("gw_s"), p)
-        first = lambda e: F.greatest(F.lit(0), F.least(p - e["o"], F.size("gw_s") - e["n"])).cast("long")
-        return F.transform(F.filter(entries(h), lambda e: e["h"] == h), lambda e: F.shiftleft(e["i"], START_BITS).bitwiseOR(first(e)))
+        return F.transform(F.filter(entries(h), lambda e: e["h"] == h), lambda e: F.shiftleft(e["i"], START_BITS).bitwiseOR(p.cast("long")))
 
-    rows = bound(rows, "gw_c", F.array_distinct(F.flatten(F.transform("gw_p", codes)))).drop("gw_p")
+    rows = bound(rows, "gw_h", F.array_sort(F.array_distinct(F.flatten(F.transform("gw_p", codes))))).drop("gw_p")
     sizes = literal([len(s) for _, s in items], "array<int>")
 
+    def starts(c: Column, j: Column) -> Column:
+        item, m = F.shiftright(c, START_BITS), F.size("gw_s")
+        n, zero = F.get(sizes, item.cast("int")), F.shiftleft(item, START_BITS)
+        need = F.ceil((F.least(n, m) + n) * least / (1 + least) - 1e-9).cast("int")
+        end = F.get(F.col("gw_h"), j + F.greatest(need, F.lit(1)) - 1)
+        span = F.sequence(F.greatest(end - n + 1, zero), F.least(c, zero + F.greatest(m - n, F.lit(0))))
+        return F.when(end - c < n, span).otherwise(F.array().cast("array<bigint>"))
+
+    rows = bound(rows, "gw_c", F.array_distinct(F.flatten(F.transform("gw_h", starts)))).drop("gw_h").where(F.size("gw_c") > 0)
+
     def window(c: Column) -> Column:
         item, start = F.shiftright(c, START_BITS).cast("int"), c.bitwiseAND((1 << START_BITS) - 1).cast("int")
-        return F.struct(item.alias("item"), start.alias("start"), F.get(sizes, item).alias("n"), F.slice(F.col("gw_s"), start + 1, F.get(sizes, item)).alias("win"))
+        return F.struct(item.alias("item"), start.alias("start"), (start >= F.size("gw_s") - F.get(sizes, item)).alias("last"), F.get(sizes, item).alias("n"), F.slice(F.col("gw_s"), start + 1, F.get(sizes, item)).alias("win"))
 
     return rows.select("doc_id", "gw_text", F.explode(F.transform("gw_c", window)).alias("w")).select("doc_id", "gw_text", "w.*")
 
@@ -119,7 +132,7 @@ def matches_of(docs: DataFrame, width: int, items: list[tuple], radius: int, lea
     table = spark.createDataFrame([(i, item, len(s), s) for i, (item, s) in enumerate(items)], kind)
     table = bound(table, "gw_ifp", simhash(F.col("gw_items")))
     index = table.select("gw_i", "gw_n", "gw_ifp", F.posexplode(F.array(*block_values(F.col("gw_ifp"), radius))).alias("gw_b", "gw_v"))
-    found = bound(windows(docs, width, items), "fp", simhash(F.col("win"))).drop("item")
+    found = bound(windows(docs, width, items, least), "fp", simhash(F.col("win"))).drop("item")
     keyed = found.select("*", F.posexplode(F.array(*block_values(F.col("fp"), radius))).alias("b", "v"))
     pairs = keyed.join(F.broadcast(index), (F.col("n") == F.col("gw_n")) & (F.col("b") == F.col("gw_b")) & (F.col("v") == F.col("gw_v"))).drop("gw_n")
     apart = F.col("fp").bitwiseXOR(F.col("gw_ifp"))
@@ -130,7 +143,15 @@ def matches_of(docs: DataFrame, width: int, items: list[tuple], radius: int, lea
     both = F.aggregate(F.array_distinct("win"), F.lit(0), lambda s, x: s + F.least(times(F.col("win"), x), times(F.col("gw_items"), x)))
     pairs = bound(pairs, "gw_both", both)
     near = F.col("gw_both") / (F.size("win") + F.size("gw_items") - F.col("gw_both"))
-    return pairs.withColumn("similarity", near).where(F.col("similarity") >= least).select("doc_id", "gw_text", F.col("gw_item").alias("item_id"), "start", "similarity")
+    pairs = pairs.withColumn("similarity", near).where(F.col("similarity") >= least)
+    return pairs.select("doc_id", "gw_text", F.col("gw_item").alias("item_id"), "start", aligned().alias("aligned"), "similarity")
+
+
+def aligned() -> Column:
+    """Whether a shared shingle of win has the same place in the item, as far as the document's bounds let the window go."""
+    placed = lambda k, o: (k == o) | ((F.col("start") == 0) & (k <= o)) | (F.col("last") & (k >= o))
+    of = lambda x, k: F.transform("gw_items", lambda y, o: (x == y) & placed(k, o))
+    return F.exists(F.flatten(F.transform("win", of)), lambda hit: hit)
 
 
 def docs_item_type(items: list[tuple]) -> str:
@@ -140,6 +161,7 @@ def docs_item_type(items: list[tuple]) -> str:
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 19, block: int = 1 << 16) -> DataFrame:
     """doc_id, gw_text (hash of the text), item_id, start_word and similarity of the best window, for every document and item with one.
 
+    Of windows with equal similarity, one in which a shared shingle has its place in the item comes first, then the earlier.
     A text with fewer words than a shingle matches only items as short. Null and empty texts match nothing; repeated rows count once; null ids
     stay null. An empty documents or benchmark table gives no rows. Other columns are not read.
     """
@@ -148,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least:
         kind = benchmark.schema["item_id"].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"doc_id bigint, gw_text bigint, item_id {kind}, start_word int, similarity double")
     found = reduce(DataFrame.unionByName, parts)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("start")))
+    best = F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("start")))
     found = found.groupBy("doc_id", "gw_text", "item_id").agg(best.alias("best"))
     return found.select("doc_id", "gw_text", "item_id", (-F.col("best.start")).alias("start_word"), "best.similarity")
 
