@@ -44,14 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, groups: list[str], order: list[str], out: str, micro: int = 4096) -> DataFrame:
+def numbered(df: DataFrame, groups: list[str], order: list[str], out: str, micro: int = 4096, cell_of: Column | None = None) -> DataFrame:
     """Add `out`, a gapless number from 0 within each value of `groups`, without bringing a group into one task.
 
     Rows are dealt into `micro` hash cells a group by the `order` columns; cells get their first number from a prefix sum
-    over cell counts (at most `micro` rows a group), rows get theirs from row_number within the cell.
+    over cell counts (at most `micro` rows a group), rows get theirs from row_number within the cell. Cells `cell_of` that rise with
+    the order make the numbers rise with it too.
     """
     cell, first = "__gw_cell", "__gw_first"
-    df = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(micro)).cast("int"))
+    df = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(micro)).cast("int") if cell_of is None else cell_of)
     keys = [*groups, cell]
     before = Window.partitionBy(*groups).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     firsts = df.groupBy(*keys).agg(F.count("*").alias("__gw_n")).withColumn(first, F.coalesce(F.sum("__gw_n").over(before), F.lit(0)))

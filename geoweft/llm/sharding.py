@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered, written
@@ -22,13 +22,17 @@ from .common import numbered, written
 KEY_BITS = 63
 
 
-def slim(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and group key. A null text has size 8, checksum 0, and is a group of its own."""
+FILE_CELL = 16  # bits of the row number within a file that share a cell
+
+
+def slim(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, size, text_crc32, group key and what else is asked for. A null text has size 8, checksum 0, and is a group of its own."""
     return docs.select(
         F.col("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64("text"), 1).alias("gw_key"),
+        *more,
     )
 
 
@@ -125,16 +129,22 @@ def plan(rows: DataFrame, shards: int, max_bins: int = 1 << 16, first_bits: int
     return [bins.rows[i - 1][1] if i else -1 for i in ends], high
 
 
-def shard(docs: DataFrame, shards: int = 24, max_bins: int = 1 << 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, max_bins: int = 1 << 16, in_order: bool = False) -> DataFrame:
     """Put every row of `docs` (doc_id, text) into shards 0..shards-1 of nearly equal bytes.
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 within the shard), grown_shard (null).
     Equal texts share a shard. Null ids and repeated rows keep a row and a slot each; an empty table gives no rows; other columns
-    are not read, so their names cannot clash.
+    are not read, so their names cannot clash. With `in_order`, docs is read from Parquet files, and slots follow the order of the files
+    and of the rows in them; else a hash decides.
     """
-    rows = written(slim(docs), "shard-sizes")
+    place = [F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("long").alias("gw_part"), F.col("_metadata.file_name").alias("gw_file"), F.col("_metadata.row_index").alias("gw_at")] if in_order else []
+    rows = written(slim(docs, *place), "shard-sizes")
     ends, _ = plan(rows, shards, max_bins)
     number = sum((F.col("gw_key") > F.lit(e)).cast("int") for e in ends) if ends else F.lit(0)
     rows = rows.withColumn("law", F.lit("bytes")).withColumn("shard", number.cast("int"))
-    rows = numbered(rows, ["shard"], ["doc_id", "gw_key", "size"], "slot")
+    if in_order:
+        cell = F.struct("gw_part", "gw_file", F.shiftright("gw_at", FILE_CELL).alias("gw_run"))
+        rows = numbered(rows, ["shard"], ["gw_at"], "slot", cell_of=cell)
+    else:
+        rows = numbered(rows, ["shard"], ["doc_id", "gw_key", "size"], "slot")
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
