@@ -5,8 +5,11 @@ the class emits the word by the class's own word counts, smoothed so that each c
 (c + d) / (n + d (v + 1)). So the states' parameters have a fixed size while every distinct word of the corpus counts.
 The likelihood of a whole text is exact: a scaled forward recursion over its classes plus the words' terms.
 
-Words are told apart by their 64-bit XXH64. Counts of the most frequent words (at most `head`) are broadcast; texts' other words
-are joined with the rest of the counts by shuffle, which no single word can dominate.
+Training starts from a fixed random model. Every round sums counts over all training texts, each as one whole chain: long ones are
+walked in segments that hand on the scaled forward and backward values, so memory is bounded and no transition is lost.
+
+Words are told apart by their 64-bit XXH64. Counts of the words that are most frequent in all texts, held-out ones included (at most
+`head`), are broadcast; texts' other words are joined with the rest of the counts by shuffle, which no single word can dominate.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, hashed_words, slices, summed, written
+from .common import crc_of_id, dropped, hashed_words, slices, summed, written
 
 #: The end of a text counts as the empty word.
 END = int(np.uint64(xxhash.xxh64_intdigest(b"", 42)).view(np.int64))
-TOKENS = 250_000  # of one batch in memory
+TOKENS = 250_000  # of one group of sequences
+SEGMENT = 2048  # steps of a sequence whose values are held at once
+BYTES = 2_000_000  # of text held at once
 LN10 = float(np.log(10))
 
 
@@ -59,52 +64,64 @@ def packed(at: np.ndarray, tokens: int = TOKENS) -> Iterator[np.ndarray]:
         yield order[group:]
 
 
-def forward(model: Model, seq: np.ndarray, starts: np.ndarray, length: np.ndarray, keep: bool = False):
-    """Scaled forward recursion over sequences sorted by falling length: log-likelihoods, and all steps' scaled values if kept."""
+def walk(model: Model, seq: np.ndarray, starts: np.ndarray, length: np.ndarray, first: int, last: int, alpha: np.ndarray | None, logs: np.ndarray, steps: list | None = None) -> np.ndarray | None:
+    """Scaled forward steps first..last-1 of sequences sorted by falling length, from `alpha` on; adds to their log-likelihoods."""
     emit = np.ascontiguousarray(model.emit.T)
-    logs, steps = np.zeros(len(starts)), []
-    active = np.searchsorted(-length, -np.arange(length[0]), side="left")  # sequences longer than t
-    alpha = None
-    for t in range(length[0]):
-        n = active[t]
+    active = np.searchsorted(-length, -np.arange(first, last), side="left")  # sequences longer than t
+    for t, n in zip(range(first, last), active.tolist(), strict=True):
         e = emit[seq[starts[:n] + t]]
         alpha = (model.start if alpha is None else alpha[:n] @ model.move) * e
         c = alpha.sum(1)
         alpha = alpha / c[:, None]
         logs[:n] += np.log(c)
-        if keep:
+        if steps is not None:
             steps.append((alpha, e, c))
-    return logs, steps
+    return alpha
+
+
+def forward(model: Model, seq: np.ndarray, starts: np.ndarray, length: np.ndarray, keep: bool = False):
+    """Log-likelihoods of whole sequences sorted by falling length, and all steps' scaled values if kept."""
+    logs, steps = np.zeros(len(starts)), [] if keep else None
+    walk(model, seq, starts, length, 0, int(length[0]), None, logs, steps)
+    return logs, steps or []
 
 
-def expected(model: Model, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of starts, moves and emissions over the sequences, and their log-likelihood."""
+def expected(model: Model, seq: np.ndarray, at: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of starts, moves and emissions over the sequences, and their log-likelihood.
+
+    The forward pass keeps its values only where a segment starts; the backward pass, from the last segment on, walks each one again.
+    """
     k, classes = model.emit.shape
     starts_n, move_n, emit_n, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes)), 0.0
     for group in packed(at):
         starts, length = at[:-1][group], np.diff(at)[group]
-        logs, steps = forward(model, seq, starts, length, keep=True)
+        firsts = list(range(0, int(length[0]), segment))
+        logs, marks, alpha = np.zeros(len(starts)), [], None
+        for s in firsts:
+            marks.append(alpha)
+            if s + segment < length[0]:
+                alpha = walk(model, seq, starts, length, s, s + segment, alpha, logs)
+        after = None  # backward value, emission and scale of the step after
+        for s, mark in zip(reversed(firsts), reversed(marks), strict=True):
+            last, steps, lost = min(s + segment, int(length[0])), [], np.zeros(len(starts))
+            walk(model, seq, starts, length, s, last, mark, logs if s == firsts[-1] else lost, steps)
+            ids, weights = [], []
+            for t in range(last - 1, s - 1, -1):
+                alpha, e, c = steps[t - s]
+                beta = np.ones((len(alpha), k))
+                if after is not None:
+                    ahead = after[0] * after[1] / after[2][:, None]
+                    move_n += alpha[: len(ahead)].T @ ahead
+                    beta[: len(ahead)] = ahead @ model.move.T
+                after = beta, e, c
+                ids.append(seq[starts[: len(alpha)] + t])
+                weights.append(alpha * beta)
+            if s == 0:
+                starts_n += weights[-1].sum(0)
+            flat, w = np.concatenate(ids), np.concatenate(weights)
+            for state in range(k):
+                emit_n[state] += np.bincount(flat, w[:, state], classes)
         total += float(logs.sum())
-        beta = np.ones((0, k))
-        ids, weights = [], []
-        for t in range(length[0] - 1, -1, -1):
-            alpha, _, _ = steps[t]
-            n = len(alpha)
-            full = np.ones((n, k))
-            if len(beta):
-                _, e, c = steps[t + 1]
-                ahead = beta * e / c[:, None]
-                move_n += alpha[: len(ahead)].T @ ahead
-                full[: len(ahead)] = ahead @ model.move.T
-            beta = full
-            gamma = alpha * beta
-            ids.append(seq[starts[:n] + t])
-            weights.append(gamma)
-            if t == 0:
-                starts_n += gamma.sum(0)
-        flat, w = np.concatenate(ids), np.concatenate(weights)
-        for s in range(k):
-            emit_n[s] += np.bincount(flat, w[:, s], classes)
     return starts_n, move_n * model.move, emit_n, total
 
 
@@ -116,21 +133,15 @@ def updated(model: Model, starts: np.ndarray, moves: np.ndarray, emits: np.ndarr
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), model.logs)
 
 
-def class_sequences(texts: pa.Array, classes: int, cut: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all tokens, ends included, and first positions; texts are cut into sequences of up to `cut` tokens, if given."""
+def class_sequences(texts: pa.Array, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all tokens, ends included, and the texts' first positions."""
     uniq, idx, at = hashed_words(texts)
-    words = (uniq.astype(np.int64) % classes).astype(np.int32)[idx] if len(uniq) else np.zeros(0, np.int32)
-    seq = np.insert(words, at[1:], classes)
-    at = at + np.arange(len(at))
-    if cut:
-        more = [np.arange(a, b, cut) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        at = np.append(np.concatenate(more) if more else np.zeros(0, np.int64), at[-1])
-    return seq, at
+    return class_sequences_of((uniq % classes).astype(np.int32), idx, at, classes)
 
 
 @dataclass
 class Language:
-    """A trained model; vocab holds h (hash of the word) and c (its count) for every training word but the end."""
+    """A trained model; vocab holds h (hash of the word), c (its count in training texts) and n (in all) for every word but the end."""
 
     model: Model
     vocab: DataFrame
@@ -145,85 +156,99 @@ class Language:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """h and c of each distinct token of docs (text), one end for each text included as the empty word."""
+    """h, c (in rows that aren't held out) and n (in all) of each distinct token of docs (text, held_out), ends included as the empty word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def merged() -> pa.RecordBatch:
-            h, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            h, c, n = (np.concatenate([x[i] for x in held]) for i in range(3))
             u, back = np.unique(h, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(back, n).astype(np.int64))], names=["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(u), *[pa.array(np.bincount(back, x).astype(np.int64)) for x in (c, n)]], names=["h", "c", "n"])
 
-        for b in (x for whole in batches for x in slices(whole)):
-            uniq, idx, _ = hashed_words(b.column("text"))
-            held.append((np.append(uniq, END), np.append(np.bincount(idx, minlength=len(uniq)), b.num_rows)))
+        for b in (x for whole in batches for x in slices(whole, most=BYTES)):
+            uniq, idx, at = hashed_words(b.column("text"))
+            learnt = ~b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            c = np.bincount(idx, np.repeat(learnt, np.diff(at)), len(uniq)) if len(idx) else np.zeros(len(uniq))
+            held.append((np.append(uniq, END), np.append(c, learnt.sum()), np.append(np.bincount(idx, minlength=len(uniq)), b.num_rows)))
             size += len(uniq) + 1
-            if size > 1_000_000:
+            if size > 500_000:
                 yield merged()
                 held, size = [], 0
         if held:
             yield merged()
 
-    return docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c"))
+    return docs.select("text", "held_out").mapInArrow(run, "h bigint, c bigint, n bigint").groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
 
+def class_table(docs: DataFrame, classes: int) -> DataFrame:
+    """seq: the classes of each text's tokens, its end included."""
 
-def train(docs: DataFrame, states: int = 8, classes: int = 4096, rounds: int = 2, warm_rows: int = 1500, warm_rounds: int = 12, head: int = 1 << 18, delta: float = 0.5) -> Language:
-    """Fit on every row of docs (doc_id, text).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in slices(whole, most=BYTES)):
+            seq, at = class_sequences(b.column("text"), classes)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(seq.astype(np.int32)))], names=["seq"])
+
+    return docs.select("text").mapInArrow(run, "seq array<int>")
+
+
+def one_round(model: Model, table: DataFrame) -> Model:
+    """The model after one Baum-Welch step on every sequence of the table; tasks send sums as large as the model."""
+    k, width = model.emit.shape
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + k + k * k + k * width)
+        for b in batches:
+            at = b.column("seq").offsets.to_numpy().astype(np.int64)
+            s, m, e, log = expected(model, b.column("seq").flatten().to_numpy(), at - at[0])
+            total += np.concatenate([[log], s, m.ravel(), e.ravel()])
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["idx", "val"])
 
-    All words are counted. The states start from Baum-Welch rounds over about `warm_rows` texts (chosen by a hash of the id) on the
-    driver; then `rounds` rounds sum counts over all texts, cut into sequences of 512 tokens.
+    got = summed(table.mapInArrow(counts, "idx int, val double"))
+    flat = np.zeros(1 + k + k * k + k * width)
+    flat[list(got)] = list(got.values())
+    after = updated(model, flat[1 : 1 + k], flat[1 + k : 1 + k + k * k].reshape(k, k), flat[1 + k + k * k :].reshape(k, width))
+    after.logs.append(float(flat[0]))
+    return after
+
+
+def train(docs: DataFrame, states: int = 8, classes: int = 4096, rounds: int = 5, head: int = 1 << 18, delta: float = 0.5) -> Language:
+    """Fit on every row of docs (text, held_out) that isn't held out: all words are counted, and each of the `rounds` sums counts over all texts.
+
+    Held-out rows only tell which words are frequent enough to be broadcast; no count of theirs reaches the model.
     """
     vocab = written(word_counts(docs), "hmm-words")
+    words = vocab.where(F.col("h") != END)
     klass = F.pmod(F.col("h"), F.lit(classes))
-    by_class = vocab.where(F.col("h") != END).groupBy(klass.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    by_class = words.where("c > 0").groupBy(klass.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     class_n, class_v = np.zeros(classes), np.zeros(classes)
     for r in by_class:
         class_n[r["k"]], class_v[r["k"]] = r["n"], r["v"]
-    tokens, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words = vocab.where(F.col("h") != END)
-    steps = words.groupBy(F.floor(F.log("c") * 64).alias("step")).agg(F.min("c").alias("c"), F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    tokens, distinct = vocab.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    steps = words.groupBy(F.floor(F.log("n") * 64).alias("step")).agg(F.min("n").alias("least"), F.count("*").alias("many")).orderBy(F.desc("step")).collect()
     head_from, have = 1 << 62, 0
-    for _, c, n in steps:
-        if have + n > head:
+    for _, least, many in steps:
+        if have + many > head:
             break
-        head_from, have = c, have + n
-    top = words.where(F.col("c") >= head_from).toArrow().sort_by("h")
+        head_from, have = least, have + many
+    top = words.where(F.col("n") >= head_from).select("h", "c").toArrow().sort_by("h")
     known = (top.column("h").to_numpy(), top.column("c").to_numpy())
     ends = vocab.where(F.col("h") == END).first()
-    n_docs = int(ends["c"]) if ends else 0
-    every = max(1, n_docs // warm_rows)
-    warm = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").limit(4 * warm_rows).toArrow().column("text")
-    model = Model.first(states, classes)
-    seq, at = class_sequences(warm, classes, cut=512)
-    for _ in range(warm_rounds if len(seq) else 0):
-        s, m, e, _ = expected(model, seq, at)
-        model = updated(model, s, m, e)
-    for _ in range(rounds if n_docs else 0):
-        now = model
-        k = states
-
-        def counts(batches: Iterator[pa.RecordBatch], now=now, k=k) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(1 + k + k * k + k * (classes + 1))
-            for b in (x for whole in batches for x in slices(whole)):
-                seq, at = class_sequences(b.column("text"), classes, cut=512)
-                s, m, e, log = expected(now, seq, at)
-                total += np.concatenate([[log], s, m.ravel(), e.ravel()])
-            full = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["idx", "val"])
-
-        got = summed(docs.select("text").mapInArrow(counts, "idx int, val double"))
-        flat = np.zeros(1 + k + k * k + k * (classes + 1))
-        flat[list(got)] = list(got.values())
-        model = updated(now, flat[1 : 1 + k], flat[1 + k : 1 + k + k * k].reshape(k, k), flat[1 + k + k * k :].reshape(k, classes + 1))
-        model.logs.append(float(flat[0]))
+    n_docs, model = int(ends["c"]) if ends else 0, Model.first(states, classes)
+    if n_docs:
+        table = written(class_table(docs.where(~F.col("held_out")), classes), "hmm-classes")
+        for _ in range(rounds):
+            model = one_round(model, table)
+        dropped(table)
     return Language(model, words, head_from, known, class_n, class_v, n_docs, int(tokens), int(distinct), delta)
 
 
 SCORED = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare_h array<bigint>, rare_n array<bigint>"
 
 
-def scored(docs: DataFrame, lang: Language, held_out) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text); logs to base 10.
+def scored(docs: DataFrame, lang: Language) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text, held_out); logs to base 10.
 
     A null text is empty: one token, the end. With nothing to train on, every token has probability 1 in the base. Repeated ids and
     null ids keep their rows; other columns are not read.
@@ -239,23 +264,23 @@ def scored(docs: DataFrame, lang: Language, held_out) -> DataFrame:
 
         model, (head_h, head_c), class_n, class_v = sent.value
         uid = TaskContext.get().partitionId() << 40
-        for b in (x for whole in batches for x in slices(whole)):
+        for b in (x for whole in batches for x in slices(whole, most=BYTES)):
             uniq, idx, at = hashed_words(b.column("text"))
             n = np.diff(at)
             rows = len(n)
             pos = np.minimum(np.searchsorted(head_h, uniq), max(len(head_h) - 1, 0))
-            known = head_h[pos] == uniq if len(head_h) else np.zeros(len(uniq), bool)
-            c = np.where(known, head_c[pos], 0) if len(head_h) else np.zeros(len(uniq), np.int64)
-            klass = (uniq % classes).astype(np.int32)
-            base = np.where(known, np.log10(c + 1.0) - norm, 0.0)
-            word = np.where(known, np.log10((c + delta) / (class_n[klass] + delta * (class_v[klass] + 1))), 0.0)
+            inside = head_h[pos] == uniq if len(head_h) else np.zeros(len(uniq), bool)
+            c = np.where(inside, head_c[pos], 0) if len(head_h) else np.zeros(len(uniq), np.int64)
+            klass, known = (uniq % classes).astype(np.int32), c > 0
+            base = np.where(inside, np.log10(c + 1.0) - norm, 0.0)
+            word = np.where(inside, np.log10((c + delta) / (class_n[klass] + delta * (class_v[klass] + 1))), 0.0)
             rows_of = np.repeat(np.arange(rows), n)
             per_row = lambda x: np.bincount(rows_of, x[idx], rows) if len(idx) else np.zeros(rows)
             seq, sat = class_sequences_of(klass, idx, at, classes)
             logs = np.zeros(rows)
-            for group in packed(sat, 1_000_000):
+            for group in packed(sat):
                 logs[group] = forward(model, seq, sat[:-1][group], np.diff(sat)[group])[0]
-            rare = np.flatnonzero(~known[idx]) if len(idx) else np.zeros(0, int)
+            rare = np.flatnonzero(~inside[idx]) if len(idx) else np.zeros(0, int)
             pair, times = np.unique(rows_of[rare] * np.int64(len(uniq) + 1) + idx[rare], return_counts=True)
             row, word_i = pair // (len(uniq) + 1), pair % (len(uniq) + 1)
             offsets = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
@@ -269,11 +294,11 @@ def scored(docs: DataFrame, lang: Language, held_out) -> DataFrame:
             )
             uid += rows
 
-    first = written(docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, SCORED), "hmm-scored")
+    first = written(docs.select("doc_id", "text", "held_out").mapInArrow(run, SCORED), "hmm-scored")
     rare = first.select("uid", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("r")).select("uid", F.col("r.rare_h").alias("h"), F.col("r.rare_n").alias("times"))
     sizes = spark.createDataFrame([(k, float(lang.class_n[k]), float(lang.class_v[k])) for k in range(classes)], "k int, cn double, cv double")
     c = F.coalesce("c", F.lit(0))
-    rare = rare.join(lang.vocab.where(F.col("c") < lang.head_from), "h", "left").withColumn("k", F.pmod("h", F.lit(classes)).cast("int")).join(F.broadcast(sizes), "k")
+    rare = rare.join(lang.vocab.where((F.col("n") < lang.head_from) & (F.col("c") > 0)).select("h", "c"), "h", "left").withColumn("k", F.pmod("h", F.lit(classes)).cast("int")).join(F.broadcast(sizes), "k")
     rest = rare.groupBy("uid").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * (F.log10(c + 1) - F.lit(norm))).alias("more_base"),
@@ -297,4 +322,5 @@ def held_out(modulus: int = 7, remainder: int = 2):
 
 def language_scores(docs: DataFrame, **options) -> DataFrame:
     """Train on the rows that aren't held out and score all rows."""
-    return scored(docs, train(docs.where(~held_out()), **options), held_out())
+    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
+    return scored(rows, train(rows, **options))
