@@ -50,12 +50,15 @@ class Model:
 
 
 def packed(at: np.ndarray, tokens: int = TOKENS) -> Iterator[np.ndarray]:
-    """Indices of sequences (first positions `at`), longest first, in groups of about so many tokens."""
+    """Indices of sequences (first positions `at`), longest first, in groups of about so many tokens within one segment.
+
+    So long sequences, of which only a segment is held at once, go side by side in greater number.
+    """
     length = np.diff(at)
     order = np.argsort(-length, kind="stable")
     order = order[length[order] > 0]
     group, have = 0, 0
-    for i, n in enumerate(length[order].tolist()):
+    for i, n in enumerate(np.minimum(length[order], SEGMENT).tolist()):
         have += n
         if have >= tokens:
             yield order[group : i + 1]
@@ -264,35 +267,44 @@ def scored(docs: DataFrame, lang: Language) -> DataFrame:
 
         model, (head_h, head_c), class_n, class_v = sent.value
         uid = TaskContext.get().partitionId() << 40
-        for b in (x for whole in batches for x in slices(whole, most=BYTES)):
-            uniq, idx, at = hashed_words(b.column("text"))
-            n = np.diff(at)
-            rows = len(n)
-            pos = np.minimum(np.searchsorted(head_h, uniq), max(len(head_h) - 1, 0))
-            inside = head_h[pos] == uniq if len(head_h) else np.zeros(len(uniq), bool)
-            c = np.where(inside, head_c[pos], 0) if len(head_h) else np.zeros(len(uniq), np.int64)
-            klass, known = (uniq % classes).astype(np.int32), c > 0
-            base = np.where(inside, np.log10(c + 1.0) - norm, 0.0)
-            word = np.where(inside, np.log10((c + delta) / (class_n[klass] + delta * (class_v[klass] + 1))), 0.0)
-            rows_of = np.repeat(np.arange(rows), n)
-            per_row = lambda x: np.bincount(rows_of, x[idx], rows) if len(idx) else np.zeros(rows)
-            seq, sat = class_sequences_of(klass, idx, at, classes)
-            logs = np.zeros(rows)
-            for group in packed(sat):
-                logs[group] = forward(model, seq, sat[:-1][group], np.diff(sat)[group])[0]
-            rare = np.flatnonzero(~inside[idx]) if len(idx) else np.zeros(0, int)
-            pair, times = np.unique(rows_of[rare] * np.int64(len(uniq) + 1) + idx[rare], return_counts=True)
-            row, word_i = pair // (len(uniq) + 1), pair % (len(uniq) + 1)
-            offsets = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(uid, uid + rows)), b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(n.astype(np.int64) + 1),
-                    pa.array((per_row(known.astype(float)) + (ends > 0)).astype(np.int64)), pa.array(per_row(base) + np.log10(ends + 1.0) - norm),
-                    pa.array(logs / LN10 + per_row(word)), pa.ListArray.from_arrays(offsets, pa.array(uniq[word_i])), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
-                ],
-                names=[x.split()[0] for x in SCORED.split(", ")],
-            )
-            uid += rows
+        for whole in batches:
+            parts, chains = [], []
+            for b in slices(whole, most=BYTES):
+                uniq, idx, at = hashed_words(b.column("text"))
+                n = np.diff(at)
+                rows = len(n)
+                pos = np.minimum(np.searchsorted(head_h, uniq), max(len(head_h) - 1, 0))
+                inside = head_h[pos] == uniq if len(head_h) else np.zeros(len(uniq), bool)
+                c = np.where(inside, head_c[pos], 0) if len(head_h) else np.zeros(len(uniq), np.int64)
+                klass, known = (uniq % classes).astype(np.int32), c > 0
+                base = np.where(inside, np.log10(c + 1.0) - norm, 0.0)
+                word = np.where(inside, np.log10((c + delta) / (class_n[klass] + delta * (class_v[klass] + 1))), 0.0)
+                rows_of = np.repeat(np.arange(rows), n)
+                per_row = lambda x, idx=idx, rows=rows, rows_of=rows_of: np.bincount(rows_of, x[idx], rows) if len(idx) else np.zeros(rows)
+                rare = np.flatnonzero(~inside[idx]) if len(idx) else np.zeros(0, int)
+                pair, times = np.unique(rows_of[rare] * np.int64(len(uniq) + 1) + idx[rare], return_counts=True)
+                row, word_i = pair // (len(uniq) + 1), pair % (len(uniq) + 1)
+                offsets = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
+                chains.append(class_sequences_of(klass, idx, at, classes))
+                parts.append(
+                    [
+                        pa.array(np.arange(uid, uid + rows)), b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(n.astype(np.int64) + 1),
+                        pa.array((per_row(known.astype(float)) + (ends > 0)).astype(np.int64)), pa.array(per_row(base) + np.log10(ends + 1.0) - norm),
+                        per_row(word), pa.ListArray.from_arrays(offsets, pa.array(uniq[word_i])), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
+                    ]
+                )
+                uid += rows
+            if not parts:
+                continue
+            seq, length = np.concatenate([s for s, _ in chains]), np.concatenate([np.diff(at) for _, at in chains])
+            at, logs, low = np.concatenate(([0], np.cumsum(length))), np.zeros(len(length)), 0
+            for group in packed(at):
+                logs[group] = forward(model, seq, at[:-1][group], length[group])[0]
+            for cols in parts:
+                high = low + len(cols[0])
+                cols[6] = pa.array(logs[low:high] / LN10 + cols[6])
+                low = high
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")])
 
     first = written(docs.select("doc_id", "text", "held_out").mapInArrow(run, SCORED), "hmm-scored")
     rare = first.select("uid", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("r")).select("uid", F.col("r.rare_h").alias("h"), F.col("r.rare_n").alias("times"))
