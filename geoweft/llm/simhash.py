@@ -49,9 +49,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def over(counters: list[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose three-bit counter is above the radius."""
+    """Lanes whose counter is above the radius."""
     above, equal = np.zeros_like(counters[0]), np.full_like(counters[0], ALL)
-    for bit in (2, 1, 0):
+    for bit in range(len(counters) - 1, -1, -1):
         if not radius >> bit & 1:
             above |= equal & counters[bit]
             equal &= ~counters[bit]
@@ -61,23 +61,20 @@ def over(counters: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def count_in(x: np.ndarray, c: list[np.ndarray]) -> None:
-    """Carry-save addition of one bit a lane; a counter that would pass 7 stays at 7."""
-    carry0 = c[0] & x
-    c[0] ^= x
-    carry1 = c[1] & carry0
-    c[1] ^= carry0
-    full = c[2] & carry1
-    c[2] ^= carry1
-    if full.any():
+    """Carry-save addition of one bit a lane; a counter that is full stays so."""
+    carry = x
+    for i, y in enumerate(c):
+        c[i], carry = y ^ carry, y & carry
+    if carry.any():
         for y in c:
-            y |= full
+            y |= carry
 
 
 def close_pairs(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs i < j of uint64 fingerprints that differ in at most `radius` (up to 6) bits.
+    """All index pairs i < j of uint64 fingerprints that differ in at most `radius` bits.
 
     Plane b holds bit b of 64 fingerprints a word. All fingerprints are queries at once: each plane xor the query's bit is
-    added to bitwise counters. Words whose 64 lanes all exceed the radius are abandoned.
+    added to bitwise counters, which hold one more than the radius at least. Words whose 64 lanes all exceed the radius are abandoned.
     """
     n, words = len(fps), -(-len(fps) // 64)
     bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -85,8 +82,8 @@ def close_pairs(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.n
     padded[:n] = bits
     planes = np.packbits(padded.T.copy(), axis=1, bitorder="little").view(np.uint64)
     masks = np.where(bits.astype(bool), ALL, np.uint64(0))
-    counters = [np.zeros((n, words), np.uint64) for _ in range(3)]
-    first = 20
+    counters = [np.zeros((n, words), np.uint64) for _ in range((radius + 1).bit_length())]
+    first = min(64, max(20, 2 * radius))
     for b in range(first):
         count_in(planes[b][None, :] ^ masks[:, b][:, None], counters)
     q, w = np.nonzero(over(counters, radius) != ALL)

@@ -6,7 +6,7 @@ from geoweft.llm.common import table, written
 from geoweft.llm.queries import QUERIES
 
 from ..conftest import SMALL
-from .test_simhash import classes, near, plain_fingerprint
+from .test_similarity import expected_groups
 from .test_texts import expected
 
 
@@ -24,10 +24,10 @@ def test_stages_against_brute_force(spark):
     bad = {r["doc_id"] for r in table(spark, SMALL, "labels").where("quality = 0").collect()}
     assert not bad - {r["doc_id"] for r in given.collect()} and len(bad & {r["doc_id"] for r in out["quality"]}) <= 1
 
-    fp = {r["doc_id"]: plain_fingerprint(r["text"]) for r in out["quality"]}
-    ids = sorted(fp)
-    root = classes(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if near(fp[a], fp[b])])
-    assert sorted(r["doc_id"] for r in out["near_duplicates"]) == sorted(set(root.values()))
+    good = sorted(out["quality"], key=lambda r: r["doc_id"])
+    root = expected_groups([r["text"] for r in good])  # five words, 0.8, by trying all pairs
+    assert sorted(r["doc_id"] for r in out["near_duplicates"]) == sorted(good[i]["doc_id"] for i in set(root.values()))
+    assert len(set(root.values())) < len(good)
 
     bench = [(r["item_id"], r["text"]) for r in table(spark, SMALL, "benchmark").collect()]
     leaks = {d for d, _ in expected([(r["doc_id"], r["text"]) for r in out["near_duplicates"]], bench)}
