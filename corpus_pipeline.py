@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import decontamination, mixing, quality, sharding, simhash
+from geoweft.llm import decontamination, mixing, quality, sharding, similarity
 from geoweft.llm.common import table, written
 from geoweft.llm.queries import MIX_WEIGHTS
 
@@ -22,8 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more, over SimHash bit planes."""
+    return similarity.first_of_each(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
