@@ -1,26 +1,28 @@
 """Benchmark decontamination, native DataFrame operations only.
 
 A window is as many word shingles of a document as a benchmark item has. Windows and items have SimHash fingerprints (64 bits, each
-shingle weighted by its count). Fingerprints are indexed by `radius` + 1 blocks of bits: two that differ in at most `radius` bits agree
-in at least one block, so the join on blocks finds every item within the radius of a window. Candidates are verified by the exact
-weighted similarity of their shingle multisets (sum of least counts over sum of greatest counts).
-
-A window is as similar to an item as asked for only if it has enough positions with a shingle of the item, so all windows that have,
-at any start and in any order of the shingles, are fingerprinted, and no others. The look-up of shared shingles is a table in each executor; items are taken in blocks of at most `block` shingles,
-each with a pass over the documents, so the table's size is bounded for any benchmark.
+shingle weighted by its count), cut into `radius` + 1 blocks of bits: two that differ in at most `radius` bits agree in at least one
+block, so looking the blocks up finds every item within the radius of a window. What is found is verified by the exact weighted
+similarity of the shingle multisets (sum of least counts over sum of greatest counts).
+
+A window is as similar to an item as asked for only if it has enough positions with a shingle of the item. One join of all documents'
+shingles with the items' gives these positions; all windows that have enough, at any start and in any order of the shingles, are
+fingerprinted, and no others; each keeps its item. The items' shingles are broadcast up to `block` of them, else joined by shuffle, so
+documents are read twice for a benchmark of any size. Equal texts are looked at once.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SPACE = "[ \\t-\\r]+"
-START_BITS = 40  # of a window's code: item << 40 | first shingle
+BLOCK = 1 << 20  # shingles of a benchmark that are broadcast, a few dozen bytes each
+FEW = 100_000  # rows of (text, item) that are broadcast
 
 
 def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -40,111 +42,97 @@ def shingle_hashes(words: str, width: int) -> Column:
 
 
 def simhash(shingles: Column) -> Column:
-    """Bit set if set in over half the shingles, repeats included."""
-    ones = lambda b: F.aggregate(shingles, F.lit(0), lambda s, h: s + F.call_function("shiftrightunsigned", h, b).bitwiseAND(1).cast("int"))
-    bit = lambda b: F.when(ones(b) * 2 > F.size(shingles), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(bit(b)))
+    """Bit set if set in over half the shingles, repeats included. Counts of several bits share a long, in lanes that hold them without touching the sign."""
+
+    def lanes(width: int) -> Column:
+        mask = sum(1 << low for low in range(0, 64, width))
+        mask = F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+        counted = lambda k: F.aggregate(shingles, F.lit(0).cast("long"), lambda s, h: s + F.shiftrightunsigned(h, k).bitwiseAND(mask))
+        sums = [counted(k) for k in range(width)]
+        bits = lambda c: reduce(lambda x, y: x.bitwiseOR(y), [bit_of(c, b, width, F.size(shingles)) for b in range(64)])
+        return F.get(F.transform(F.array(F.array(*sums)), bits), F.lit(0))
+
+    return F.when(F.size(shingles) < 128, lanes(8)).otherwise(lanes(32))
+
+
+def bit_of(counts: Column, b: int, width: int, n: Column) -> Column:
+    """Bit b, if its count among those of lanes of this width is over half of n."""
+    one = F.shiftrightunsigned(F.get(counts, F.lit(b % width)), b // width * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    return F.when(one * 2 > n, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def block_values(fp: Column, radius: int) -> list[Column]:
+def block_values(fp: Column, radius: int) -> Column:
+    """The blocks of bits, in order."""
     n, low, out = radius + 1, 0, []
     for i in range(n):
         width = 64 // n + (i < 64 % n)
         out.append(F.shiftrightunsigned(fp, low).bitwiseAND((1 << width) - 1))
         low += width
-    return out
+    return F.array(*out)
 
 
-def blocks_of(items: DataFrame, shingle: int, block: int) -> Iterator[tuple[int, list[tuple]]]:
-    """Shingle width and items (item_id, shingle hashes), of at most `block` shingles together (a larger item stands alone).
+def tagged(shingles: Column) -> Column:
+    """One value for each occurrence, so that common values of two arrays are the common part of the multisets."""
+    before = lambda i, h: F.size(F.filter(F.slice(shingles, 1, i), lambda y: y == h))
+    plain, counted = F.transform(shingles, lambda h: F.xxhash64(h, F.lit(0))), F.transform(shingles, lambda h, i: F.xxhash64(h, before(i, h)))
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), plain).otherwise(counted)
 
-    An item with fewer words than `shingle` has the whole sequence as its one shingle. Items without words are left out.
+
+def items_of(benchmark: DataFrame, shingle: int) -> DataFrame:
+    """gw_i (hash of the text), gw_items (shingles), gw_width (their words) and gw_n of each distinct text with words.
+
+    An item with fewer words than `shingle` has the whole sequence as its one shingle.
     """
-    rows = bound(items.select("item_id", "text"), "gw_w", word_hashes(F.col("text"))).where(F.size("gw_w") > 0)
-    for width in range(1, shingle + 1):
-        own = rows.where((F.size("gw_w") == width) | ((F.lit(width == shingle)) & (F.size("gw_w") >= width)))
-        held, size = [], 0
-        for r in own.select("item_id", shingle_hashes("gw_w", width).alias("s")).toLocalIterator():
-            if held and size + len(r["s"]) > block:
-                yield width, held
-                held, size = [], 0
-            held.append((r["item_id"], list(r["s"])))
-            size += len(r["s"])
-        if held:
-            yield width, held
-
-
-def literal(value: list, kind: str) -> Column:
-    """A nested constant: the optimizer folds the parsing once, so tasks get the array itself."""
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
-
-
-def shared_table(items: list[tuple]) -> tuple[Column, int]:
-    """A constant array of slots; a shingle's slot lists (hash h, item i, first shingle o, shingles n) of the items that hold it."""
-    slots = 1 << max(4, (4 * sum(len(s) for _, s in items)).bit_length())
-    table: list[list[dict]] = [[] for _ in range(slots)]
-    for i, (_, hashes) in enumerate(items):
-        for o, h in enumerate(hashes):
-            table[h % slots].append({"h": h, "i": i, "o": o, "n": len(hashes)})
-    return literal(table, "array<array<struct<h: bigint, i: bigint, o: int, n: int>>>"), slots
-
-
-def windows(docs: DataFrame, width: int, items: list[tuple], least: float) -> DataFrame:
-    """doc_id, gw_text, item (index), start, last (no later start), n and win (shingles) of every window with enough shared shingles for `least`.
-
-    In the sorted codes (item, position of a shared shingle), the one that is as many places on as shingles are needed, less one, has
-    to be of the same item and within its length; the starts that hold both are those of the windows.
+    texts = benchmark.select("text").distinct()
+    rows = bound(texts.select(F.xxhash64("text").alias("gw_i"), "text"), "gw_w", word_hashes(F.col("text"))).where(F.size("gw_w") > 0)
+    width = F.least(F.size("gw_w"), F.lit(shingle))
+    shingles = F.coalesce(*[F.when(width == k, shingle_hashes("gw_w", k)) for k in range(1, shingle + 1)])
+    return rows.select("gw_i", width.alias("gw_width"), shingles.alias("gw_items")).withColumn("gw_n", F.size("gw_items"))
+
+
+def starts(docs: DataFrame, items: DataFrame, width: int, least: float, block: int) -> DataFrame:
+    """gw_text, gw_i and gw_starts of every text and item with a window of enough shared shingles for `least`.
+
+    Of the rising positions of shared shingles, the one that is as many places on as shingles are needed, less one, has to be within
+    the item's length; the starts that hold both are those of the windows.
     """
-    table, slots = shared_table(items)
-    entries = lambda h: F.get(table, F.pmod(h, F.lit(slots)).cast("int"))
-    rows = bound(docs.select("doc_id", F.xxhash64("text").alias("gw_text"), "text"), "gw_w", word_hashes(F.col("text"))).drop("text")
-    rows = bound(rows, "gw_s", shingle_hashes("gw_w", width)).drop("gw_w")
-    shared = F.transform("gw_s", lambda h, i: F.when(F.exists(entries(h), lambda e: e["h"] == h), i))
-    rows = bound(rows, "gw_p", F.filter(shared, lambda i: i.isNotNull())).where(F.size("gw_p") > 0)
-
-    def codes(p: Column) -> Column:
-        h = F.get(F.col("gw_s"), p)
-        return F.transform(F.filter(entries(h), lambda e: e["h"] == h), lambda e: F.shiftleft(e["i"], START_BITS).bitwiseOR(p.cast("long")))
-
-    rows = bound(rows, "gw_h", F.array_sort(F.array_distinct(F.flatten(F.transform("gw_p", codes))))).drop("gw_p")
-    sizes = literal([len(s) for _, s in items], "array<int>")
-
-    def starts(c: Column, j: Column) -> Column:
-        item, m = F.shiftright(c, START_BITS), F.size("gw_s")
-        n, zero = F.get(sizes, item.cast("int")), F.shiftleft(item, START_BITS)
-        need = F.ceil((F.least(n, m) + n) * least / (1 + least) - 1e-9).cast("int")
-        end = F.get(F.col("gw_h"), j + F.greatest(need, F.lit(1)) - 1)
-        span = F.sequence(F.greatest(end - n + 1, zero), F.least(c, zero + F.greatest(m - n, F.lit(0))))
-        return F.when(end - c < n, span).otherwise(F.array().cast("array<bigint>"))
-
-    rows = bound(rows, "gw_c", F.array_distinct(F.flatten(F.transform("gw_h", starts)))).drop("gw_h").where(F.size("gw_c") > 0)
-
-    def window(c: Column) -> Column:
-        item, start = F.shiftright(c, START_BITS).cast("int"), c.bitwiseAND((1 << START_BITS) - 1).cast("int")
-        return F.struct(item.alias("item"), start.alias("start"), (start >= F.size("gw_s") - F.get(sizes, item)).alias("last"), F.get(sizes, item).alias("n"), F.slice(F.col("gw_s"), start + 1, F.get(sizes, item)).alias("win"))
-
-    return rows.select("doc_id", "gw_text", F.explode(F.transform("gw_c", window)).alias("w")).select("doc_id", "gw_text", "w.*")
-
-
-def matches_of(docs: DataFrame, width: int, items: list[tuple], radius: int, least: float) -> DataFrame:
-    spark = docs.sparkSession
-    kind = "gw_i int, gw_item " + docs_item_type(items) + ", gw_n int, gw_items array<bigint>"
-    table = spark.createDataFrame([(i, item, len(s), s) for i, (item, s) in enumerate(items)], kind)
-    table = bound(table, "gw_ifp", simhash(F.col("gw_items")))
-    index = table.select("gw_i", "gw_n", "gw_ifp", F.posexplode(F.array(*block_values(F.col("gw_ifp"), radius))).alias("gw_b", "gw_v"))
-    found = bound(windows(docs, width, items, least), "fp", simhash(F.col("win"))).drop("item")
-    keyed = found.select("*", F.posexplode(F.array(*block_values(F.col("fp"), radius))).alias("b", "v"))
-    pairs = keyed.join(F.broadcast(index), (F.col("n") == F.col("gw_n")) & (F.col("b") == F.col("gw_b")) & (F.col("v") == F.col("gw_v"))).drop("gw_n")
-    apart = F.col("fp").bitwiseXOR(F.col("gw_ifp"))
-    first = F.coalesce(*[F.when(x == 0, F.lit(i)) for i, x in enumerate(block_values(apart, radius))])
-    pairs = pairs.where((first == F.col("b")) & (F.bit_count(apart) <= radius))
-    pairs = pairs.join(F.broadcast(table.select("gw_i", "gw_item", "gw_items")), "gw_i")
-    times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    both = F.aggregate(F.array_distinct("win"), F.lit(0), lambda s, x: s + F.least(times(F.col("win"), x), times(F.col("gw_items"), x)))
-    pairs = bound(pairs, "gw_both", both)
-    near = F.col("gw_both") / (F.size("win") + F.size("gw_items") - F.col("gw_both"))
-    pairs = pairs.withColumn("similarity", near).where(F.col("similarity") >= least)
-    return pairs.select("doc_id", "gw_text", F.col("gw_item").alias("item_id"), "start", aligned().alias("aligned"), "similarity")
+    rows = bound(docs.select(F.xxhash64("text").alias("gw_text"), "text"), "gw_w", word_hashes(F.col("text")))
+    rows = rows.select("gw_text", (F.size("gw_w") - (width - 1)).alias("gw_m"), F.posexplode(shingle_hashes("gw_w", width)).alias("gw_p", "gw_h"))
+    index = items.where(F.col("gw_width") == width).select("gw_i", "gw_n", F.explode(F.array_distinct("gw_items")).alias("gw_h"))
+    index = F.broadcast(index) if index.count() <= block else index
+    hits = rows.join(index, "gw_h").groupBy("gw_text", "gw_i", "gw_n", "gw_m").agg(F.collect_set("gw_p").alias("gw_p"))
+    n, m = F.col("gw_n"), F.col("gw_m")
+    need = F.greatest(F.ceil((F.least(n, m) + n) * least / (1 + least) - 1e-9).cast("int"), F.lit(1))
+    hits = bound(hits.withColumn("gw_need", need).where(F.size("gw_p") >= F.col("gw_need")), "gw_at", F.array_sort("gw_p"))
+
+    def span(c: Column, j: Column) -> Column:
+        end = F.get(F.col("gw_at"), j + F.col("gw_need") - 1)
+        return F.when(end - c < n, F.sequence(F.greatest(end - n + 1, F.lit(0)), F.least(c, F.greatest(m - n, F.lit(0))))).otherwise(F.array().cast("array<int>"))
+
+    hits = bound(hits, "gw_starts", F.array_distinct(F.flatten(F.transform("gw_at", span))))
+    return hits.where(F.size("gw_starts") > 0).select("gw_text", "gw_i", "gw_starts")
+
+
+def matches_of(docs: DataFrame, items: DataFrame, width: int, radius: int, least: float, block: int) -> DataFrame:
+    """gw_text, gw_i and best (similarity, aligned, -start) of every text and item of this width with a window that is similar enough."""
+    found = written(starts(docs, items, width, least, block), "leak-starts")
+    few = found.count() <= FEW
+    hint = F.broadcast if few else lambda t: t
+    own = docs.select(F.xxhash64("text").alias("gw_text"), "text").join(hint(found.select("gw_text").distinct()), "gw_text", "left_semi")
+    own = own.groupBy("gw_text").agg(F.min("text").alias("text"))
+    rows = bound(bound(own, "gw_w", word_hashes(F.col("text"))).drop("text"), "gw_s", shingle_hashes("gw_w", width)).drop("gw_w")
+    table = bound(items.where(F.col("gw_width") == width).join(found.select("gw_i").distinct(), "gw_i", "left_semi"), "gw_ifp", simhash(F.col("gw_items")))
+    table = bound(table, "gw_tags", tagged(F.col("gw_items")))
+    rows = rows.join(hint(found), "gw_text").join(hint(table), "gw_i")
+    window = lambda start: F.struct(start.alias("start"), (start >= F.size("gw_s") - F.col("gw_n")).alias("last"), F.slice(F.col("gw_s"), start + 1, F.col("gw_n")).alias("win"))
+    rows = rows.select("gw_text", "gw_i", "gw_items", "gw_ifp", "gw_tags", F.explode(F.transform("gw_starts", window)).alias("w")).select("gw_text", "gw_i", "gw_items", "gw_ifp", "gw_tags", "w.*")
+    rows = bound(rows, "fp", simhash(F.col("win")))
+    looked_up = F.exists(F.zip_with(block_values(F.col("fp"), radius), block_values(F.col("gw_ifp"), radius), lambda x, y: x == y), lambda same: same)
+    rows = rows.where(looked_up & (F.bit_count(F.col("fp").bitwiseXOR(F.col("gw_ifp"))) <= radius))
+    rows = bound(rows, "gw_both", F.size(F.array_intersect(tagged(F.col("win")), "gw_tags")))
+    rows = rows.withColumn("similarity", F.col("gw_both") / (F.size("win") + F.size("gw_items") - F.col("gw_both"))).where(F.col("similarity") >= least)
+    best = F.max(F.struct("similarity", aligned().alias("aligned"), (-F.col("start")).alias("start")))
+    return rows.groupBy("gw_text", "gw_i").agg(best.alias("best"))
 
 
 def aligned() -> Column:
@@ -154,29 +142,30 @@ def aligned() -> Column:
     return F.exists(F.flatten(F.transform("win", of)), lambda hit: hit)
 
 
-def docs_item_type(items: list[tuple]) -> str:
-    return "string" if any(isinstance(i, str) for i, _ in items) else "bigint"
+def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 19, block: int = BLOCK) -> DataFrame:
+    """Written gw_text, gw_i and best of every distinct text of docs and of the benchmark with a window that is similar enough."""
+    items = written(items_of(benchmark, shingle), "leak-items")
+    widths = sorted(r[0] for r in items.select("gw_width").distinct().collect())
+    parts = [matches_of(docs, items, width, radius, least, block) for width in widths or [shingle]]
+    return written(reduce(DataFrame.unionByName, parts), "leak-matches")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 19, block: int = 1 << 16) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, gw_text (hash of the text), item_id, start_word and similarity of the best window, for every document and item with one.
 
     Of windows with equal similarity, one in which a shared shingle has its place in the item comes first, then the earlier.
     A text with fewer words than a shingle matches only items as short. Null and empty texts match nothing; repeated rows count once; null ids
     stay null. An empty documents or benchmark table gives no rows. Other columns are not read.
     """
-    parts = [matches_of(docs, width, items, radius, least) for width, items in blocks_of(benchmark, shingle, block)]
-    if not parts:
-        kind = benchmark.schema["item_id"].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"doc_id bigint, gw_text bigint, item_id {kind}, start_word int, similarity double")
-    found = reduce(DataFrame.unionByName, parts)
-    best = F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("start")))
-    found = found.groupBy("doc_id", "gw_text", "item_id").agg(best.alias("best"))
-    return found.select("doc_id", "gw_text", "item_id", (-F.col("best.start")).alias("start_word"), "best.similarity")
+    best = matches(docs, benchmark, **options)
+    names = benchmark.select("item_id", F.xxhash64("text").alias("gw_i")).distinct()
+    best = best.join(names, "gw_i").groupBy("gw_text", "item_id").agg(F.max("best").alias("best"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("gw_text")).distinct().join(best, "gw_text")
+    return rows.select("doc_id", "gw_text", "item_id", (-F.col("best.start")).alias("start_word"), "best.similarity")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, without those that hold a benchmark item; rows with equal texts go or stay together."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("gw_text").alias("gw_bad")).distinct()
-    rows = docs.withColumn("gw_text", F.xxhash64("text"))
-    return rows.join(bad, F.col("gw_text") == F.col("gw_bad"), "left_anti").select(*docs.columns)
+    """The documents, all columns as they are, without those that hold a benchmark item; rows with equal texts go or stay together."""
+    bad = matches(docs, benchmark, **options).select("gw_text").distinct()
+    bad = F.broadcast(bad) if bad.count() <= FEW else bad
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["gw_text"], "left_anti")
