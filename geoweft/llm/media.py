@@ -1,7 +1,8 @@
 """Media columns: telephony audio.
 
 mu-law and A-law samples expand through 256-entry tables made from the G.711 rule; IMA ADPCM blocks are decoded side by
-side, one numpy step for each sample position over all blocks; 16-bit PCM is resampled by linear interpolation.
+side, one numpy step for each sample position over all blocks, of all texts of a batch in the query. Samples are resampled by linear
+interpolation, after a low-pass where the rate falls.
 """
 
 from __future__ import annotations
@@ -13,10 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-RATE = 8000
+from .common import slices
+
+RATE, WIDE = 8000, 16000
+BYTES = 2_000_000  # of text held at once; a sample of 16 bits and its steps take some dozen bytes each
 MU_LAW, A_LAW, IMA_ADPCM, PCM = 7, 6, 0x11, 1  # format tags of WAVE
 
 
@@ -54,6 +59,8 @@ def adpcm_step(code: np.ndarray, value: np.ndarray, index: np.ndarray) -> tuple[
 
 def adpcm_decode(data: bytes, block: int) -> np.ndarray:
     """Mono IMA ADPCM: blocks of `block` bytes, each a 4-byte header (first sample, step index) and two codes a byte. A short last block is padded."""
+    if block < 5:
+        raise ValueError("a block holds a header of 4 bytes and one byte of codes or more")
     if not data:
         return np.zeros(0, np.int16)
     n = -(-len(data) // block)
@@ -87,50 +94,74 @@ def adpcm_encode(samples: np.ndarray, block: int) -> bytes:
     return out.tobytes()
 
 
+def low_pass(samples: np.ndarray, share: float, taps: int = 33) -> np.ndarray:
+    """Samples without what lies above `share` of the band: a windowed sinc whose weights sum to 1; the ends are continued."""
+    at = np.arange(taps) - taps // 2
+    kernel = np.sinc(at * share) * np.hanning(taps + 2)[1:-1]
+    return np.convolve(np.pad(samples.astype(np.float64), taps // 2, mode="edge"), kernel / kernel.sum(), mode="valid")
+
+
 def resampled(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """16-bit samples at another rate, by linear interpolation."""
+    """16-bit samples at another rate, by linear interpolation; what the lower rate cannot hold is filtered out first."""
+    if rate < 1 or to < 1:
+        raise ValueError("a rate is 1 or more")
     if not len(samples) or rate == to:
         return samples.astype(np.int16)
     n = max(1, len(samples) * to // rate)
-    return np.rint(np.interp(np.arange(n) * rate / to, np.arange(len(samples)), samples)).astype(np.int16)
+    smooth = low_pass(samples, to / rate) if to < rate else samples
+    return np.clip(np.rint(np.interp(np.arange(n) * rate / to, np.arange(len(samples)), smooth)), -32768, 32767).astype(np.int16)
 
 
-def wave(data: bytes, tag: int, rate: int = RATE, block: int = 1, bits: int = 8) -> bytes:
-    """A mono RIFF/WAVE file with this data chunk."""
-    fmt = struct.pack("<HHIIHHH", tag, 1, rate, rate * block, block, bits, 0)
+def wave(data: bytes, tag: int, rate: int = RATE, block: int = 1, bits: int = 8, channels: int = 1) -> bytes:
+    """A RIFF/WAVE file with this data chunk; samples of the channels alternate."""
+    fmt = struct.pack("<HHIIHHH", tag, channels, rate, rate * block, block, bits, 0)
     body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def wave_parts(media: bytes) -> tuple[int, int, int, bytes]:
-    """Format tag, rate, block size and data of a RIFF/WAVE file; ValueError if it isn't one."""
+def wave_parts(media: bytes) -> tuple[int, int, int, bytes, int, int]:
+    """Format tag, rate, block size, data, channels and bits of a RIFF/WAVE file; ValueError if it isn't one."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
-    at, tag, rate, block = 12, 0, 0, 1
+    at, tag, rate, block, channels, bits = 12, 0, 0, 1, 1, 8
     while at + 8 <= len(media):
         kind, (n,) = media[at : at + 4], struct.unpack_from("<I", media, at + 4)
         if kind == b"fmt ":
-            tag, _, rate, _, block, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            tag, channels, rate, _, block, bits = struct.unpack_from("<HHIIHH", media, at + 8)
         elif kind == b"data":
-            return tag, rate, block, media[at + 8 : at + 8 + n]
+            return tag, rate, block, media[at + 8 : at + 8 + n], channels, bits
         at += 8 + n + n % 2
     raise ValueError("no data chunk")
 
 
 def pcm_of(media: bytes) -> tuple[np.ndarray, int]:
-    """16-bit samples and rate of a mono WAVE file in mu-law, A-law, IMA ADPCM or 16-bit PCM."""
-    tag, rate, block, data = wave_parts(media)
-    if tag in (MU_LAW, A_LAW):
-        return (MU if tag == MU_LAW else A)[np.frombuffer(data, np.uint8)], rate
-    if tag == IMA_ADPCM:
-        return adpcm_decode(data, block), rate
-    if tag == PCM:
-        return np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(np.int16), rate
-    raise ValueError(f"format {tag} is not telephony audio")
-
+    """16-bit samples and rate of a WAVE file in mu-law, A-law, mono IMA ADPCM, or PCM of 8 or 16 bits; several channels are averaged.
 
-def stored_pcm(media: DataFrame, column: str = "media", to: int = 16000) -> DataFrame:
-    """Add pcm (little-endian 16-bit samples at `to` Hz) to rows with a telephony WAVE file; null where it is null or no such file."""
+    ValueError for any other file, and for one whose header makes no sense.
+    """
+    tag, rate, block, data, channels, bits = wave_parts(media)
+    if rate < 1 or channels < 1:
+        raise ValueError("a file has a rate and a channel")
+    if tag in (MU_LAW, A_LAW) and bits == 8:
+        samples = (MU if tag == MU_LAW else A)[np.frombuffer(data, np.uint8)]
+    elif tag == IMA_ADPCM and channels == 1:
+        samples = adpcm_decode(data, block)
+    elif tag == PCM and bits == 16:
+        samples = np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(np.int16)
+    elif tag == PCM and bits == 8:
+        samples = (np.frombuffer(data, np.uint8).astype(np.int16) - 128) << 8
+    else:
+        raise ValueError(f"format {tag} with {channels} channels of {bits} bits is not telephony audio")
+    if channels > 1:
+        samples = np.rint(samples[: len(samples) // channels * channels].reshape(-1, channels).mean(1)).astype(np.int16)
+    return samples, rate
+
+
+def stored_pcm(media: DataFrame, column: str = "media", to: int = WIDE) -> DataFrame:
+    """All columns of media, and pcm in place of one of that name: little-endian 16-bit samples at `to` Hz of a telephony WAVE file.
+
+    pcm is null where the column is null or holds no such file.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,9 +172,10 @@ def stored_pcm(media: DataFrame, column: str = "media", to: int = 16000) -> Data
                     out.append(resampled(samples, rate, to).astype("<i2").tobytes())
                 except (ValueError, TypeError, struct.error):
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "pcm"])
+            kept = [c for c in b.schema.names if c != "pcm"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(out, pa.binary())], names=[*kept, "pcm"])
 
-    return media.mapInArrow(decode, StructType(list(media.schema.fields)).add("pcm", "binary"))
+    return media.mapInArrow(decode, StructType([f for f in media.schema.fields if f.name != "pcm"]).add("pcm", "binary"))
 
 
 def features(payload: np.ndarray) -> str:
@@ -154,7 +186,8 @@ def features(payload: np.ndarray) -> str:
     return f"n={len(pcm)};sum={wide.sum()};sq={(wide * wide).sum()};min={pcm.min()};max={pcm.max()};zc={signs};half={(half * half).sum()}"
 
 
-MEDIA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+MEDIA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_sha256 string, alaw_sha256 string, adpcm_sha256 string"
+ADPCM_BLOCK = 64
 
 
 def text_media(docs: DataFrame, pad: int = 64, with_media: bool = False) -> DataFrame:
@@ -162,21 +195,31 @@ def text_media(docs: DataFrame, pad: int = 64, with_media: bool = False) -> Data
 
     The UTF-8 bytes (null: none), padded with 0 to a positive multiple of `pad`, become the 8-bit samples of a WAVE file
     without loss; digests and features come from the samples parsed out of that file. One row for every row, nulls and
-    repeated ids included; equal texts give equal values. with_media adds the file itself.
+    repeated ids included; equal texts give equal values. pcm_sha256 is the digest of the expanded samples, stored as 16-bit PCM at 16 kHz;
+    alaw_sha256 and adpcm_sha256 are those of the same payload read as A-law, and as IMA ADPCM blocks of 64 bytes. with_media adds the file itself.
     """
     schema = MEDIA + (", media binary" if with_media else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def stored(samples: np.ndarray) -> str:
+        return hashlib.sha256(pcm_of(wave(resampled(samples, RATE, WIDE).astype("<i2").tobytes(), PCM, WIDE, 2, 16))[0].astype("<i2").tobytes()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for t in b.column("text"):
-                raw = (t.as_py() or "").encode()
+        for b in (x for whole in batches for x in slices(whole, most=BYTES)):
+            backs, rows = [], []
+            for t in pc.fill_null(b.column("text"), ""):
+                raw = t.as_py().encode()
                 media = wave(raw.ljust(max(1, -(-len(raw) // pad)) * pad, b"\0"), MU_LAW)
                 back = wave_parts(media)[3]
-                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(np.frombuffer(back, np.uint8)))
-                rows.append((*row, media) if with_media else row)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[: len(names) - 1])]], names=names)
+                backs.append(back)
+                own = np.frombuffer(back, np.uint8)
+                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(own), stored(MU[own]), stored(A[own]), media))
+            filled = [x.ljust(-(-len(x) // ADPCM_BLOCK) * ADPCM_BLOCK, b"\0") for x in backs]
+            blocks = adpcm_decode(b"".join(filled), ADPCM_BLOCK).astype("<i2")
+            ends = np.cumsum([len(x) // ADPCM_BLOCK * (1 + 2 * (ADPCM_BLOCK - 4)) for x in filled])
+            coded = [hashlib.sha256(blocks[e - len(x) // ADPCM_BLOCK * (1 + 2 * (ADPCM_BLOCK - 4)) : e].tobytes()).hexdigest() for x, e in zip(filled, ends.tolist(), strict=True)]
+            values = [[r[i] for r in rows] for i in range(9)] + [coded] + ([[r[9] for r in rows]] if with_media else [])
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *[pa.array(v, k) for v, k in zip(values, kinds, strict=False)]], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
