@@ -1,5 +1,8 @@
 """Quality classifier by co-training: one logistic model sees the text's content, the other only the page's metadata.
 
+The content view has shares of character classes, word outlines, repetition and hashed words; no feature of it is a length, which is
+left to the metadata. The metadata view has source, language and stated length.
+
 Both start from labelled rows. In each round, each view labels the unlabelled documents it is confident about, and the other view takes
 Newton steps on its labelled rows plus these. Every document takes part: tasks send sums of gradients and curvatures (as large as the
 model, whatever the corpus). A class's pseudo-labels together weigh at most `share` of its true labels. At the end, both
@@ -19,17 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import flat_words, slices, summed, written
+from .common import dropped, flat_words, slices, summed, written
 
-SHAPES, SOURCES, LANGS, LENGTHS = 16, 32, 8, 10
+SHAPES, WORDS, SOURCES, LANGS, LENGTHS = 16, 96, 32, 8, 10
 #: Classes of bytes: lower case, upper case, digit, space, line end, | and >, other ASCII, beyond ASCII.
 BYTE_CLASS = np.array([0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b in (32, 9) else 4 if b in (10, 13) else 5 if b in (124, 62) else 7 if b > 127 else 6 for b in range(256)], np.uint8)
-TEXT_DIM = 8 + 9 + SHAPES
 META_DIM = SOURCES + LANGS + LENGTHS
 
 
 def shapes_of(words: pa.Array) -> np.ndarray:
     """A bucket for each word's outline: runs of letters, digits and signs count as one, signs as their first."""
+    if not len(words):
+        return np.zeros(0, np.int64)
     for pattern, to in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"\d+", "0"), (r"([^aA0])[^aA0]*", r"\1")):
         words = pc.replace_substring_regex(words, pattern=pattern, replacement=to)
     coded = words.dictionary_encode()
@@ -62,22 +66,23 @@ def text_features(texts: pa.Array) -> np.ndarray:
     lengths = pc.utf8_length(words).to_numpy().astype(np.float64)
     alpha = pc.utf8_is_alnum(pc.utf8_slice_codeunits(words, -1)).to_numpy(zero_copy_only=False).astype(np.float64)
     mean = lambda x: np.bincount(of, x[idx], n) / some if len(idx) else np.zeros(n)
-    shapes = np.zeros((n, SHAPES))
-    if len(idx):
-        kind = shapes_of(words)
-        shapes = np.bincount(of * SHAPES + kind[idx], minlength=n * SHAPES).reshape(n, SHAPES) / some[:, None]
+    share = lambda kind, many: np.bincount(of * many + kind[idx], minlength=n * many).reshape(n, many) / some[:, None] if len(idx) else np.zeros((n, many))
+    bucket = np.array([zlib.crc32(w.encode()) % WORDS for w in pc.ascii_lower(words).to_pylist()], np.int64)
     average = mean(lengths)
-    rest = [np.log1p(size), np.log1p(count), average, np.sqrt(np.maximum(mean(lengths**2) - average**2, 0)), distinct, top / some, bigrams, mean(alpha), np.log1p(count) * distinct]
-    return np.concatenate([chars, np.stack(rest, 1), shapes], 1)
+    rest = [average, np.sqrt(np.maximum(mean(lengths**2) - average**2, 0)), distinct, top / some, bigrams, mean(alpha)]
+    return np.concatenate([chars, np.stack(rest, 1), share(shapes_of(words), SHAPES), np.sqrt(share(bucket, WORDS))], 1)
 
 
-def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
+def meta_features(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> np.ndarray:
     """One row of metadata features: hashed source and language (nulls have a bucket, too) and the stated length on a log scale."""
-    out = np.zeros((len(source), META_DIM))
-    for i, (s, x, n) in enumerate(zip(source, lang, n_chars, strict=True)):
-        out[i, zlib.crc32(f"s{s}".encode()) % SOURCES] = 1
-        out[i, SOURCES + zlib.crc32(f"l{x}".encode()) % LANGS] = 1
-        out[i, SOURCES + LANGS + (0 if n is None or n < 0 else min(LENGTHS - 1, 1 + int(np.log2(n + 1)) // 2))] = 1
+    out, row = np.zeros((len(source), META_DIM)), np.arange(len(source))
+    for values, sign, at, many in ((source, "s", 0, SOURCES), (lang, "l", SOURCES, LANGS)):
+        coded = values.dictionary_encode(null_encoding="encode")
+        bucket = np.array([zlib.crc32(f"{sign}{x}".encode()) % many for x in coded.dictionary.to_pylist()], np.int64)
+        if len(row):
+            out[row, at + bucket[coded.indices.to_numpy()]] = 1
+    n = pc.fill_null(n_chars.cast(pa.float64()), -1.0).to_numpy()
+    out[row, SOURCES + LANGS + np.where(n < 0, 0, np.minimum(LENGTHS - 1, 1 + np.log2(np.maximum(n, 0) + 1).astype(np.int64) // 2))] = 1
     return out
 
 
@@ -130,19 +135,21 @@ class Quality:
         return chance(z), chance(a), chance(b)
 
 
-FEATURES = "doc_id bigint, a array<float>, b array<float>"
+FEATURES = "doc_id bigint, text_key bigint, a array<float>, b array<float>"
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (hash of the text) and both views' features of every row of docs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
                 text = text_features(b.column("text")).astype(np.float32)
-                meta = meta_features(*[b.column(c).to_pylist() for c in ("source", "lang", "n_chars")]).astype(np.float32)
+                meta = meta_features(*[b.column(c) for c in ("source", "lang", "n_chars")]).astype(np.float32)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (text, meta)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *lists], names=["doc_id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("text_key"), *lists], names=["doc_id", "text_key", "a", "b"])
 
-    return docs.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(run, FEATURES)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("double").alias("n_chars")).mapInArrow(run, FEATURES)
 
 
 def matrix(column) -> np.ndarray:
@@ -186,15 +193,24 @@ def pseudo_sums(table: DataFrame, views: tuple[View, View], sure: float) -> list
     return out
 
 
-def cotrain(docs: DataFrame, labels: DataFrame, rows: int = 8000, rounds: int = 2, steps: int = 2, sure: float = 0.97, share: float = 0.5, least_recall: float = 0.995) -> Quality | None:
-    """Train on docs (doc_id, text, source, lang, n_chars) and labels (doc_id, quality), of which at most `rows`, by least hash of the id, are used.
+def cotrain(docs: DataFrame, labels: DataFrame, **options) -> Quality | None:
+    """As cotrained, on docs (doc_id, text, source, lang, n_chars)."""
+    table = written(feature_table(docs), "quality-features")
+    model = cotrained(table, labels, **options)
+    dropped(table)
+    return model
+
+
+def cotrained(table: DataFrame, labels: DataFrame, rows: int = 8000, rounds: int = 2, steps: int = 2, sure: float = 0.97, share: float = 0.5, least_recall: float = 0.995) -> Quality | None:
+    """Train on a written feature_table and labels (doc_id, quality), of which at most `rows` ids, by least hash, are used.
 
-    A quarter of these calibrates only. The cut keeps at least `least_recall` of the good calibration rows, and is 0.5 at most. Without
-    labels of both classes there is nothing to learn: None. Labels that disagree about an id count as good.
+    Of an id's rows, the one with the least text hash counts. A quarter of these calibrates only. The cut keeps at least `least_recall` of
+    the good calibration rows, and is 0.5 at most. Without labels of both classes there is nothing to learn: None. Labels that disagree
+    about an id count as good.
     """
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    table = written(feature_table(docs), "quality-features")
-    got = table.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id")).toArrow().sort_by("h").slice(0, 2 * rows)
+    got = table.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text_key", "a", "b", "y")).alias("r"))
+    got = got.select("r.a", "r.b", "r.y", F.xxhash64("doc_id").alias("h")).toArrow().sort_by("h")
     y = got.column("y").to_numpy().astype(np.float64)
     if not got.num_rows or y.min() == y.max():
         return None
@@ -226,18 +242,39 @@ def cotrain(docs: DataFrame, labels: DataFrame, rows: int = 8000, rounds: int =
     return Quality((views[0], views[1]), combine, cut)
 
 
+ADDED = ["gw_score", "gw_text_score", "gw_meta_score", "gw_keep"]
+
+
+def unjudged(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.lit(None).cast("double") for c in ADDED[:3]}).withColumn("gw_keep", F.lit(True))
+
+
+def scored_table(table: DataFrame, model: Quality | None) -> DataFrame:
+    """doc_id and what judged() adds, from a feature_table, so that no text is read again."""
+    if model is None:
+        return unjudged(table.select("doc_id"))
+    sent = table.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                scores = sent.value.score(matrix(b.column("a")), matrix(b.column("b")))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(s) for s in scores], pa.array(scores[0] >= sent.value.cut)], names=["doc_id", *ADDED])
+
+    return table.select("doc_id", "a", "b").mapInArrow(run, "doc_id bigint, gw_score double, gw_text_score double, gw_meta_score double, gw_keep boolean")
+
+
 def judged(docs: DataFrame, model: Quality | None) -> DataFrame:
     """All rows and columns of docs with gw_score (chance of good quality), gw_text_score, gw_meta_score and gw_keep.
 
     Null texts count as empty; null metadata has a bucket of its own. Without a model every score is null and every row is kept.
-    Repeated rows get the same scores. Columns docs already has keep their names and values.
+    Repeated rows get the same scores. Columns of docs with the added names are replaced; all others keep their names and values.
     """
-    added = ["gw_score", "gw_text_score", "gw_meta_score", "gw_keep"]
+    docs = docs.drop(*ADDED)
     if model is None:
-        none = {c: F.lit(None).cast("double") for c in added[:3]}
-        return docs.withColumns(none).withColumn("gw_keep", F.lit(True))
+        return unjudged(docs)
     schema = StructType(list(docs.schema.fields))
-    for c in added[:3]:
+    for c in ADDED[:3]:
         schema = schema.add(c, "double")
     schema = schema.add("gw_keep", "boolean")
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -245,7 +282,8 @@ def judged(docs: DataFrame, model: Quality | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
-                scores = sent.value.score(text_features(b.column("text")), meta_features(*[b.column(c).to_pylist() for c in ("source", "lang", "n_chars")]))
-                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(s) for s in scores], pa.array(scores[0] >= sent.value.cut)], names=[*b.schema.names, *added])
+                meta = meta_features(*[b.column(c).cast(pa.string()) for c in ("source", "lang")], b.column("n_chars"))
+                scores = sent.value.score(text_features(b.column("text")), meta)
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(s) for s in scores], pa.array(scores[0] >= sent.value.cut)], names=[*b.schema.names, *ADDED])
 
     return docs.mapInArrow(run, schema)

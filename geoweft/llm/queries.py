@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, hmm, media, mixing, passages, quality, secretscan, sharding, simhash, toxicity
-from .common import table
+from .common import table, written
 
 #: Target weights of the sources; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
@@ -16,14 +16,16 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    judged = quality.judged(docs, quality.cotrain(docs, table(spark, sf_dir, "labels")))
-    return judged.select("doc_id", *[judged[f"gw_{c}"].alias(c) for c in ("score", "text_score", "meta_score", "keep")])
+    features = written(quality.feature_table(table(spark, sf_dir, "documents")), "quality-features")
+    scores = quality.scored_table(features, quality.cotrained(features, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", *[scores[c].alias(c.removeprefix("gw_")) for c in quality.ADDED])
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secretscan.grown(secretscan.example_findings(spark))
-    return secretscan.scanned(table(spark, sf_dir, "documents"), forest)
+    docs = table(spark, sf_dir, "documents")
+    corpus = secretscan.learned(docs)
+    forest = secretscan.grown(secretscan.example_findings(spark, words=corpus.frequent), corpus)
+    return secretscan.scanned(docs, forest)
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
