@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,27 +18,62 @@ from ..shipping import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); a local one only where that is unset and all executors are threads of this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="geoweft-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Tables written within scratch().
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, every table that was written within it; what is to stay is written after it."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for df in _scratch.pop():
+            dropped(df)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder: lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._gw_path = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table that written() made, once nothing needs it."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._gw_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    removed(df.sparkSession, df._gw_path)
+
+
+#: Where a row stands in a written table: number and name of its file, and row within the file.
+PLACE = ("__gw_part", "__gw_file", "__gw_at")
+
+
+def with_place(docs: DataFrame) -> DataFrame:
+    """The rows with PLACE, which tells them apart and gives their order; a table that isn't read from files is written first."""
+    docs = docs if docs.inputFiles() else written(docs, "placed")
+    part = F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("long")
+    return docs.select("*", part.alias(PLACE[0]), F.col("_metadata.file_name").alias(PLACE[1]), F.col("_metadata.row_index").alias(PLACE[2]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

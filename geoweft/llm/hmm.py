@@ -67,18 +67,26 @@ def packed(at: np.ndarray, tokens: int = TOKENS) -> Iterator[np.ndarray]:
         yield order[group:]
 
 
-def walk(model: Model, seq: np.ndarray, starts: np.ndarray, length: np.ndarray, first: int, last: int, alpha: np.ndarray | None, logs: np.ndarray, steps: list | None = None) -> np.ndarray | None:
+def walk(model: Model, seq: np.ndarray, starts: np.ndarray, length: np.ndarray, first: int, last: int, alpha: np.ndarray | None, logs: np.ndarray, steps: list | None = None, kind: type = np.float64) -> np.ndarray | None:
     """Scaled forward steps first..last-1 of sequences sorted by falling length, from `alpha` on; adds to their log-likelihoods."""
-    emit = np.ascontiguousarray(model.emit.T)
+    emit, move, begin = np.ascontiguousarray(model.emit.T, kind), model.move.astype(kind), model.start.astype(kind)
+    ones, at = np.ones(len(begin), kind), starts + first
     active = np.searchsorted(-length, -np.arange(first, last), side="left")  # sequences longer than t
-    for t, n in zip(range(first, last), active.tolist(), strict=True):
-        e = emit[seq[starts[:n] + t]]
-        alpha = (model.start if alpha is None else alpha[:n] @ model.move) * e
-        c = alpha.sum(1)
-        alpha = alpha / c[:, None]
-        logs[:n] += np.log(c)
+    scale = np.ones(len(starts))  # product of a few steps' scales, as logarithms are dear
+    for t, n in enumerate(active.tolist()):
+        e = emit.take(seq.take(at[:n]), axis=0)
+        at[:n] += 1
+        alpha = e * begin if alpha is None else (alpha[:n] @ move) * e
+        c = alpha @ ones
+        r = (1 / c)[:, None]
+        alpha *= r
+        scale[:n] *= c
+        if t % 8 == 7:
+            logs += np.log(scale)
+            scale.fill(1)
         if steps is not None:
-            steps.append((alpha, e, c))
+            steps.append((alpha, e, r))
+    logs += np.log(scale)
     return alpha
 
 
@@ -89,12 +97,12 @@ def forward(model: Model, seq: np.ndarray, starts: np.ndarray, length: np.ndarra
     return logs, steps or []
 
 
-def expected(model: Model, seq: np.ndarray, at: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of starts, moves and emissions over the sequences, and their log-likelihood.
+def expected(model: Model, seq: np.ndarray, at: np.ndarray, segment: int = SEGMENT, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of starts, moves and emissions over the sequences, and their log-likelihood; single steps are of this kind of float.
 
     The forward pass keeps its values only where a segment starts; the backward pass, from the last segment on, walks each one again.
     """
-    k, classes = model.emit.shape
+    (k, classes), back = model.emit.shape, np.ascontiguousarray(model.move.T, kind)
     starts_n, move_n, emit_n, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes)), 0.0
     for group in packed(at):
         starts, length = at[:-1][group], np.diff(at)[group]
@@ -103,27 +111,34 @@ def expected(model: Model, seq: np.ndarray, at: np.ndarray, segment: int = SEGME
         for s in firsts:
             marks.append(alpha)
             if s + segment < length[0]:
-                alpha = walk(model, seq, starts, length, s, s + segment, alpha, logs)
-        after = None  # backward value, emission and scale of the step after
+                alpha = walk(model, seq, starts, length, s, s + segment, alpha, logs, kind=kind)
+        ahead = None  # backward value times emission over scale of the step after
         for s, mark in zip(reversed(firsts), reversed(marks), strict=True):
             last, steps, lost = min(s + segment, int(length[0])), [], np.zeros(len(starts))
-            walk(model, seq, starts, length, s, last, mark, logs if s == firsts[-1] else lost, steps)
+            walk(model, seq, starts, length, s, last, mark, logs if s == firsts[-1] else lost, steps, kind)
             ids, weights = [], []
             for t in range(last - 1, s - 1, -1):
-                alpha, e, c = steps[t - s]
-                beta = np.ones((len(alpha), k))
-                if after is not None:
-                    ahead = after[0] * after[1] / after[2][:, None]
-                    move_n += alpha[: len(ahead)].T @ ahead
-                    beta[: len(ahead)] = ahead @ model.move.T
-                after = beta, e, c
-                ids.append(seq[starts[: len(alpha)] + t])
+                alpha, e, r = steps[t - s]
+                if ahead is None:
+                    beta = np.ones(alpha.shape, kind)
+                else:
+                    m = len(ahead)
+                    move_n += alpha[:m].T @ ahead
+                    beta = ahead @ back
+                    if m < len(alpha):
+                        beta = np.concatenate([beta, np.ones((len(alpha) - m, k), kind)])
+                ids.append(seq.take(starts[: len(alpha)] + t))
                 weights.append(alpha * beta)
+                beta *= e
+                beta *= r
+                ahead = beta
             if s == 0:
                 starts_n += weights[-1].sum(0)
             flat, w = np.concatenate(ids), np.concatenate(weights)
-            for state in range(k):
-                emit_n[state] += np.bincount(flat, w[:, state], classes)
+            order = np.argsort(flat.astype(np.uint16) if classes <= 1 << 16 else flat, kind="stable")
+            flat = flat[order]
+            new = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+            emit_n[:, flat[new]] += np.add.reduceat(w[order], new, axis=0, dtype=np.float64).T
         total += float(logs.sum())
     return starts_n, move_n * model.move, emit_n, total
 
@@ -203,7 +218,7 @@ def one_round(model: Model, table: DataFrame) -> Model:
         total = np.zeros(1 + k + k * k + k * width)
         for b in batches:
             at = b.column("seq").offsets.to_numpy().astype(np.int64)
-            s, m, e, log = expected(model, b.column("seq").flatten().to_numpy(), at - at[0])
+            s, m, e, log = expected(model, b.column("seq").flatten().to_numpy(), at - at[0], kind=np.float32)
             total += np.concatenate([[log], s, m.ravel(), e.ravel()])
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["idx", "val"])

@@ -20,7 +20,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from .common import PLACE, numbered, with_place, written
 
 KEY_BITS = 63
 
@@ -163,21 +163,36 @@ def above(key: Column, ends: list[int], first: int = 0) -> Column:
     return F.when(key > F.lit(ends[mid]), above(key, ends[mid + 1 :], first + mid + 1)).otherwise(above(key, ends[:mid], first))
 
 
-def shard(docs: DataFrame, shards: int = 24, max_bins: int = 1 << 16, in_order: bool = False) -> DataFrame:
+COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def numbered_shards(rows: DataFrame, shards: int, max_bins: int) -> DataFrame:
+    ends, _ = plan(rows, shards, max_bins)
+    return rows.withColumn("law", F.lit("bytes")).withColumn("shard", above(F.col("gw_key"), ends).cast("int")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def shard(docs: DataFrame, shards: int = 24, max_bins: int = 1 << 16) -> DataFrame:
     """Put every row of `docs` (doc_id, text) into shards 0..shards-1 of nearly equal bytes.
 
-    Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 within the shard), grown_shard (null).
+    Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 within the shard, by a hash), grown_shard (null).
     Equal texts share a shard. Null ids and repeated rows keep a row and a slot each; an empty table gives no rows; other columns
-    are not read, so their names cannot clash. With `in_order`, docs is read from Parquet files, and slots follow the order of the files
-    and of the rows in them; else a hash decides.
+    are not read, so their names cannot clash.
     """
-    place = [F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("long").alias("gw_part"), F.col("_metadata.file_name").alias("gw_file"), F.col("_metadata.row_index").alias("gw_at")] if in_order else []
-    rows = written(slim(docs, *place), "shard-sizes")
-    ends, _ = plan(rows, shards, max_bins)
-    rows = rows.withColumn("law", F.lit("bytes")).withColumn("shard", above(F.col("gw_key"), ends).cast("int"))
-    if in_order:
-        cell = F.struct("gw_part", "gw_file", F.shiftright("gw_at", FILE_CELL).alias("gw_run"))
-        rows = numbered(rows, ["shard"], ["gw_at"], "slot", cell_of=cell)
-    else:
-        rows = numbered(rows, ["shard"], ["doc_id", "gw_key", "size"], "slot")
-    return rows.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+    rows = numbered_shards(written(slim(docs), "shard-sizes"), shards, max_bins)
+    rows = numbered(rows, ["shard"], ["doc_id", "gw_key", "size"], "slot")
+    return rows.select("doc_id", *[F.col(c).cast("long") if c == "slot" else F.col(c) for c in COLUMNS])
+
+
+def sharded_documents(docs: DataFrame, shards: int = 24, max_bins: int = 1 << 16) -> DataFrame:
+    """All rows and columns of `docs`, with what shard() adds in place of columns of the same names; slots follow the rows' order in the files.
+
+    Only keys and sizes are numbered; the rows themselves move once, to meet their numbers.
+    """
+    rows = with_place(docs)
+    keys = numbered_shards(written(slim(rows, *[F.col(c) for c in PLACE]), "shard-sizes"), shards, max_bins)
+    cell = F.struct(PLACE[0], PLACE[1], F.shiftright(PLACE[2], FILE_CELL).alias("run"))
+    keys = numbered(keys, ["shard"], [PLACE[2]], "slot", cell_of=cell)
+    keys = keys.select(F.col(PLACE[1]).alias("__gw_key_file"), F.col(PLACE[2]).alias("__gw_key_at"), *COLUMNS[:4], F.col("slot").cast("long"), "grown_shard")
+    same = (F.col(PLACE[1]) == F.col("__gw_key_file")) & (F.col(PLACE[2]) == F.col("__gw_key_at"))
+    kept = [c for c in docs.columns if c.lower() not in COLUMNS]
+    return rows.select(*[f"`{c}`" for c in kept], *PLACE).join(keys, same).select(*[f"`{c}`" for c in kept], *COLUMNS)
