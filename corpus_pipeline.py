@@ -6,12 +6,13 @@ executor costs at most the stage that runs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from geoweft.llm import decontamination, mixing, quality, sharding, similarity
-from geoweft.llm.common import table, written
+from geoweft.llm.common import removed, scratch, shared_dir, table
 from geoweft.llm.queries import MIX_WEIGHTS
 
 
@@ -33,13 +34,12 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix: ranges of it by file, and sorted within."""
-    order = ["gw_slot", "gw_place"]
-    return mixing.mix(docs, MIX_WEIGHTS).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    return mixing.in_mix_order(docs, MIX_WEIGHTS)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard and slot; within a shard, slots follow the mix."""
-    return sharding.shard(docs, in_order=True)
+    """The documents with their shard and slot; within a shard, slots follow the mix."""
+    return sharding.sharded_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -55,7 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The corpus: the documents that all stages keep, with shard and slot. Tables of a stage are deleted when the next one's result stands."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch():
+            kept = stage(spark, docs, sf_dir)
+            path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
