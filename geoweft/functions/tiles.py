@@ -90,3 +90,9 @@ def mercator_inverse(x, y) -> tuple[Column, Column]:
 def pixel_width(zoom: int, tile_size: int = 256, latitude: float = 0.0) -> float:
     """Metres that a pixel spans."""
     return 2 * math.pi * EARTH_M * math.cos(math.radians(latitude)) / (tile_size << zoom)
+
+
+def cover(min_lat, min_lon, max_lat, max_lon, zoom: int) -> Column:
+    """Array of struct x, y: the tiles that a box touches, by rows from the north."""
+    (x0, y1), (x1, y0) = slippy(min_lat, min_lon, zoom), slippy(max_lat, max_lon, zoom)
+    return F.flatten(F.transform(F.sequence(y0, y1), lambda y: F.transform(F.sequence(x0, x1), lambda x: F.struct(x.alias("x"), y.alias("y")))))

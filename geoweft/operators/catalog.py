@@ -31,6 +31,51 @@ def records(table: DataFrame, name: str | None = None, tags: dict[str, str | Non
     return table
 
 
+def datasets(table: DataFrame, records: list | None = None, status: str | None = None, container: str | None = None, area: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Datasets (record, container, status, min_x, min_y, max_x, max_y) of some records, of a status, in a container (pattern), that meet an area."""
+    if records is not None:
+        table = table.where(F.col("record").isin(records))
+    if status is not None:
+        table = table.where(F.col("status") == status)
+    if container is not None:
+        table = table.where(like(F.col("container"), container))
+    if area is not None:
+        table = table.where((F.col("min_x") <= area[2]) & (F.col("max_x") >= area[0]) & (F.col("min_y") <= area[3]) & (F.col("max_y") >= area[1]))
+    return table
+
+
+def listed(records: DataFrame, datasets: DataFrame, areas: DataFrame) -> DataFrame:
+    """Records (id, aoi, datetime) with their datasets (record, dataset, box) where those meet the record's area (aoi, box a_min_x..): by time and id.
+
+    Both joins are equi-joins on ids; the boxes are compared behind them.
+    """
+    meets = (F.col("min_x") <= F.col("a_max_x")) & (F.col("max_x") >= F.col("a_min_x")) & (F.col("min_y") <= F.col("a_max_y")) & (F.col("max_y") >= F.col("a_min_y"))
+    rows = datasets.join(records.withColumnRenamed("id", "record"), "record").join(areas, "aoi").where(meets)
+    return rows.orderBy("datetime", "record", "dataset")
+
+
+def formats(datasets: DataFrame) -> DataFrame:
+    """How many datasets have each data format (dtype, no_data, min_value, max_value)."""
+    keys = ["dtype", "no_data", "min_value", "max_value"]
+    return datasets.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def by_count(cells: DataFrame) -> DataFrame:
+    """Buckets (cell, n), the fullest first, then by cell."""
+    return cells.orderBy(F.desc("n"), "cell")
+
+
+def by_expiry(objects: DataFrame) -> DataFrame:
+    """Objects that expire, the next one first, then by id."""
+    return objects.where("expires > 0").orderBy("expires", "key", "id")
+
+
+def valid_entities(points: DataFrame) -> DataFrame:
+    """Entities with an id, a collection, and coordinates on the globe."""
+    on_globe = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    return points.where(F.col("id").isNotNull() & (F.length(F.col("id").cast("string")) > 0) & (F.length("collection") > 0) & F.coalesce(on_globe, F.lit(False)))
+
+
 def without_dependants(table: DataFrame, key: str, dependants: DataFrame, reference: str) -> DataFrame:
     """Rows that nothing refers to."""
     return table.join(dependants.select(F.col(reference).alias("__ref")), F.col(key) == F.col("__ref"), "left_anti")

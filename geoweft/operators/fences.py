@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import haversine_km
-from .joins import SMALL, radius_join
+from .joins import SMALL, band_cells, radius_join, touched_cells
 
 #: Order of messages of one change.
 RANK = {"exit": 1, "outside": 2, "enter": 3, "inside": 4}
@@ -44,6 +44,33 @@ def touched(changes: DataFrame, fences: DataFrame) -> DataFrame:
     return both.select("seq", "hook", transition(F.col("was"), F.col("now")).alias("detect"))
 
 
+def way_cells(step: float) -> Column:
+    """Cells that the box of a change's way touches."""
+    c = F.col
+    low, high = F.floor(F.least("last_lat", "lat") / step).cast("int"), F.floor(F.greatest("last_lat", "lat") / step).cast("int")
+
+    def row(band: Column) -> Column:
+        n = band_cells(band, step)
+        at = lambda lon: F.least(F.greatest(F.floor((lon + 180.0) / 360.0 * n).cast("int"), F.lit(0)), n - 1)
+        return F.transform(F.sequence(at(F.least(c("last_lon"), c("lon"))), at(F.greatest(c("last_lon"), c("lon")))), lambda x: F.struct(band.alias("band"), x.alias("x")))
+
+    return F.flatten(F.transform(F.sequence(low, high), row))
+
+
+def passed(changes: DataFrame, fences: DataFrame, step: float = 1.0) -> DataFrame:
+    """Transitions without bare outside (enter, exit, inside, cross: seq, hook, detect), by cell joins for any number of fences.
+
+    A way that meets a fence shares a cell with it: its box holds the point nearest to the fence, which the fence's circle holds, too.
+    """
+    c = F.col
+    ways = changes.where("last_lat is not null").withColumn("__cell", F.explode(way_cells(step)))
+    near = fences.withColumn("__touched", F.explode(touched_cells(c("flat"), c("flon"), c("fkm"), step)))
+    pairs = ways.join(near, (c("__cell.band") == c("__touched.band")) & (c("__cell.x") == c("__touched.x")))
+    crossed = pairs.where(way_meets(c("last_lat"), c("last_lon"), c("lat"), c("lon"), c("flat"), c("flon"), c("fkm"))).select("seq", "hook").distinct()
+    known = touched(changes, fences)
+    return known.unionByName(crossed.join(known, ["seq", "hook"], "left_anti").withColumn("detect", F.lit("cross")))
+
+
 def observed(changes: DataFrame, fences: DataFrame) -> DataFrame:
     """Transitions of every change at every fence, with outside and cross; only for a fence table of checked size."""
     n = fences.limit(SMALL + 1).count()
@@ -80,6 +107,16 @@ def groups(detected: DataFrame) -> DataFrame:
     return detected.withColumn("visit", F.sum(F.col("detect").isin("enter", "cross").cast("int")).over(w))
 
 
+def roam_order(found: DataFrame) -> DataFrame:
+    """Messages of roaming in the order they are sent: by change, nearer first, then by id."""
+    return found.orderBy("seq", F.when(F.col("kind") == "nearby", 0).otherwise(1), "meters", "oid")
+
+
+def newly_near(before: Column, after: Column) -> tuple[Column, Column]:
+    """Arrays of neighbour ids: those that came and those that left."""
+    return F.array_except(after, before), F.array_except(before, after)
+
+
 def roaming(changes: DataFrame, others: DataFrame, meters: float, nodwell: bool = False) -> DataFrame:
     """Objects (oid, olat, olon) that came near or went away by a change: seq, id, oid, kind (nearby, faraway), meters, to the millimetre.
 

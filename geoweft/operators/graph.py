@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import planar
+
 
 def costs_from(edges: DataFrame, start, most_rounds: int = 1000) -> DataFrame:
     """Least cost and previous node of every node that can be reached from `start`: Bellman-Ford by frontiers.
@@ -35,3 +37,16 @@ def path(edges: DataFrame, start, end) -> list:
         out.append(node)
         node = row["prev"]
     return out[::-1]
+
+
+def linked(lines: DataFrame, digits: int = 6) -> DataFrame:
+    """Edges both ways (src, dst, cost) from segments (x1, y1, x2, y2, speed): nodes are points rounded to `digits`, cost is length over speed."""
+    node = lambda x, y: F.concat_ws(",", F.format_number(F.col(x), digits), F.format_number(F.col(y), digits))
+    cost = F.sqrt(planar.distance2("x1", "y1", "x2", "y2")) / F.col("speed")
+    one = lines.select(node("x1", "y1").alias("src"), node("x2", "y2").alias("dst"), cost.alias("cost"))
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")).groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+
+
+def nearest_node(nodes: DataFrame, x: float, y: float) -> DataFrame:
+    """The node (node, x, y) nearest to a point on the plane; of equal ones the least."""
+    return nodes.withColumn("distance", F.sqrt(planar.distance2(F.lit(x), F.lit(y), "x", "y"))).orderBy("distance", "node").limit(1)

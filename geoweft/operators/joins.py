@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import EARTH_KM, haversine_km
+from ..shared import settled
 
 HALF_ROUND = math.pi * EARTH_KM
 SMALL = 10_000  # rows of a table that may be broadcast whole
@@ -63,19 +64,28 @@ def radius_join(left: DataFrame, right: DataFrame, km, left_at: tuple[str, str]
 def knn_join(left: DataFrame, right: DataFrame, k: int, left_key: str, right_key: str, max_km: float = HALF_ROUND, first_km: float = 100.0, **at) -> DataFrame:
     """The k nearest right rows of every left row, within `max_km`, with rank from 1; ties go to the smaller right key.
 
-    Rounds of radius joins: rows that found fewer than k neighbours go on with four times the radius. Each round's rows come from
-    one join of cells; no row meets all others unless the radius spans the sphere.
+    Rounds of radius joins: rows that found fewer than k neighbours go on with four times the radius. Each round's pairs are written, so
+    no later round computes them again, and the rounds end when no row is left. No row meets all others unless the radius spans the
+    sphere; rows that are left for that, if they are few, meet the other side in one pass, broadcast, without cells.
     """
     rest, km, out = left, min(first_km, max_km), None
     order = Window.partitionBy(left_key).orderBy("dist_km", right_key)
     while True:
-        found = radius_join(rest, right, km, **at).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if out is not None and rest.isEmpty():
+            return out
+        if km >= HALF_ROUND and rest.limit(SMALL + 1).count() <= SMALL:
+            names = [F.col(c) for c in (*at.get("left_at", ("lat", "lon")), *at.get("right_at", ("rlat", "rlon")))]
+            pairs = right.join(F.broadcast(rest), haversine_km(*names) <= max_km).withColumn("dist_km", haversine_km(*names))
+        else:
+            pairs = radius_join(rest, right, km, **at)
+        found = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if km >= max_km:
             return found if out is None else out.unionByName(found)
+        found = settled(found, "knn-round")
         enough = found.groupBy(left_key).agg(F.count("*").alias("__n")).where(F.col("__n") >= k).select(left_key)
         kept = found.join(enough, left_key, "left_semi")
         out = kept if out is None else out.unionByName(kept)
-        rest = rest.join(enough, left_key, "left_anti")
+        rest = settled(rest.join(enough, left_key, "left_anti"), "knn-rest")
         km = min(max_km, km * 4)
         if km >= HALF_ROUND / 4:
             km = max_km

@@ -124,6 +124,10 @@ class Words:
         self.at += 1
         return self.words[self.at - 1]
 
+    def end(self) -> None:
+        if self.at < len(self.words):
+            raise ValueError(f"invalid argument {self.words[self.at]!r}")
+
     def number(self, low: float = -math.inf, high: float = math.inf) -> float:
         raw = self.take()
         try:
@@ -135,6 +139,13 @@ class Words:
         return x
 
 
+def geojson(text: str) -> dict:
+    try:
+        return geo.from_geojson(text)
+    except (json.JSONDecodeError, KeyError, TypeError) as e:
+        raise ValueError("invalid geojson") from e
+
+
 def area(words: Words, stored=None) -> Area:
     """One area. stored(key, id) gives the shape of a stored object for GET."""
     kind = words.take().upper()
@@ -155,10 +166,7 @@ def area(words: Words, stored=None) -> Area:
     if kind == "SECTOR":
         return sector_area(words.number(-90, 90), words.number(-180, 180), words.number(0), words.number(), words.number())
     if kind == "OBJECT":
-        try:
-            return shape_area(geo.from_geojson(words.take()))
-        except (json.JSONDecodeError, KeyError, TypeError) as e:
-            raise ValueError("invalid geojson") from e
+        return shape_area(geojson(words.take()))
     if kind == "GET" and stored:
         found = stored(words.take(), words.take())
         if found is None:

@@ -1,7 +1,8 @@
 """The command language: a command's words become one DataFrame over an objects table.
 
 objects: key, id, lat, lon, z, value, fields (map of values), geom (WKB or null for points and strings), expires (ns, 0 never).
-Only the result's columns and the rows' filters are built here; the optimizer plans the rest.
+Only the result's columns and the rows' filters are built here; the optimizer plans the rest. Commands that write give a new engine over
+the rewritten table (`write`).
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cells, geodesy, globs, values
+from ..functions import cells, documents, geodesy, globs, overlay, values
 from ..functions import geometry as geo
+from ..operators import store
 from . import areas, where
 
 DEFAULT_LIMIT = 100
+NO_LIMIT = (1 << 31) - 1  # a LIMIT of so many rows or more asks for all of them, so no task has to gather them
 OUTPUTS = ("COUNT", "IDS", "OBJECTS", "POINTS", "HASHES", "BOUNDS")
 
 
@@ -57,10 +60,115 @@ class Engine:
         if plain is None:
             raise ValueError(f"unknown command {name!r}")
         out = plain(words)
-        if words.at < len(words.words):
-            raise ValueError(f"invalid argument {words.words[words.at]!r}")
+        words.end()
         return out
 
+    def write(self, command: str | list[str]) -> Engine:
+        """The engine after a command that changes the table. Times are counted from `now_ns` (0 if unset)."""
+        words = areas.Words(shlex.split(command) if isinstance(command, str) else list(command))
+        name = words.take().upper()
+        change = getattr(self, f"write_{name.lower()}", None)
+        if change is None:
+            raise ValueError(f"unknown command {name!r}")
+        table = change(words)
+        words.end()
+        out = Engine(table, self.predicates)
+        out.now = self.now
+        return out
+
+    def rows(self, *values_: tuple, kind: str) -> DataFrame:
+        return self.objects.sparkSession.createDataFrame(list(values_), kind)
+
+    def write_set(self, words: areas.Words) -> DataFrame:
+        """SET key id [FIELD name value]... [EX seconds] [NX|XX] content."""
+        key, id_, fields, expires, mode = words.take(), words.take(), [], 0, None
+        while words.peek() in ("FIELD", "EX", "NX", "XX"):
+            option = words.take().upper()
+            if option == "FIELD":
+                fields += [F.lit(words.take().lower()), values.constant(words.take())]
+            elif option == "EX":
+                expires = (self.now or 0) + int(words.number(0) * 1e9)
+            else:
+                mode = option
+        kind, z, text, shape = words.take().upper(), 0.0, None, None
+        if kind == "STRING":
+            text = words.take()
+        elif kind == "POINT":
+            lat, lon = words.number(), words.number()
+            z = words.number() if words.peek() else 0.0
+            shape = {"type": "Point", "coordinates": [lon, lat]}
+        elif kind in ("BOUNDS", "HASH"):
+            box = [words.number() for _ in range(4)] if kind == "BOUNDS" else areas.hash_box(words.take())
+            shape = geo.rectangle(box[1], box[0], box[3], box[2])
+            if kind == "HASH":
+                shape = {"type": "Point", "coordinates": [(box[1] + box[3]) / 2, (box[0] + box[2]) / 2]}
+        elif kind == "OBJECT":
+            shape = areas.geojson(words.take())
+        else:
+            raise ValueError(f"invalid argument {kind!r}")
+        at = geo.bounds(shape) if shape else None
+        row = self.rows((key, id_, *(((at[1] + at[3]) / 2, (at[0] + at[2]) / 2) if at else (None, None)), z, text, geo.to_wkb(shape) if shape and shape["type"] != "Point" else None, expires), kind="key string, id string, lat double, lon double, z double, value string, geom binary, expires bigint")
+        held = F.create_map(*fields) if fields else F.create_map().cast(self.objects.schema["fields"].dataType)
+        return store.put(self.objects, row.withColumn("fields", held.cast(self.objects.schema["fields"].dataType)), mode)
+
+    def write_fset(self, words: areas.Words) -> DataFrame:
+        """FSET key id [XX] name value...; without XX, an object that isn't there is an error."""
+        key, id_ = words.take(), words.take()
+        lenient = words.peek() == "XX" and bool(words.take())
+        fields = []
+        while words.peek():
+            fields += [F.lit(words.take().lower()), values.constant(words.take())]
+        if not fields:
+            raise ValueError("wrong number of arguments")
+        if not lenient and self.objects.where((F.col("key") == key) & (F.col("id") == id_)).isEmpty():
+            raise ValueError("id not found")
+        change = self.rows((key, id_), kind="key string, id string").withColumn("fields", F.create_map(*fields).cast(self.objects.schema["fields"].dataType))
+        return store.set_fields(self.objects, change)
+
+    def write_del(self, words: areas.Words) -> DataFrame:
+        return store.delete(self.objects, words.take(), ids=[words.take()])
+
+    def write_pdel(self, words: areas.Words) -> DataFrame:
+        return store.delete(self.objects, words.take(), patterns=[words.take()])
+
+    def write_drop(self, words: areas.Words) -> DataFrame:
+        return store.delete(self.objects, words.take())
+
+    def write_flushdb(self, words: areas.Words) -> DataFrame:
+        return self.objects.where(F.lit(False))
+
+    def write_rename(self, words: areas.Words) -> DataFrame:
+        return store.rename(self.objects, words.take(), words.take())
+
+    def write_renamenx(self, words: areas.Words) -> DataFrame:
+        return store.rename(self.objects, words.take(), words.take(), only_new=True)
+
+    def write_expire(self, words: areas.Words) -> DataFrame:
+        key, id_ = words.take(), words.take()
+        return store.expire(self.objects, key, [id_], (self.now or 0) + int(words.number(0) * 1e9))
+
+    def write_persist(self, words: areas.Words) -> DataFrame:
+        return store.expire(self.objects, words.take(), [words.take()], None)
+
+    def write_jset(self, words: areas.Words) -> DataFrame:
+        """JSET key id path value [RAW|STR] on an object's text; a missing object starts as {}."""
+        key, id_, path, text = words.take(), words.take(), words.take(), words.take()
+        form = words.take().upper() if words.peek() else ""
+        if form not in ("", "RAW", "STR"):
+            raise ValueError(f"invalid argument {form!r}")
+        here = (F.col("key") == key) & (F.col("id") == id_)
+        if self.objects.where(here).isEmpty():
+            return Engine(self.write_set(areas.Words([key, id_, "STRING", "{}"])), now_ns=None).write_jset(areas.Words([key, id_, path, text, *([form] if form else [])]))
+        new = self.objects.where(here).withColumn("value", documents.json_set(F.col("value"), path, text, form == "RAW", form == "STR"))
+        return self.objects.where(~here).unionByName(new)
+
+    def write_jdel(self, words: areas.Words) -> DataFrame:
+        """JDEL key id path; a path that isn't there changes nothing."""
+        key, id_, path = words.take(), words.take(), words.take()
+        here = (F.col("key") == key) & (F.col("id") == id_)
+        new = self.objects.where(here).withColumn("value", F.coalesce(documents.json_delete(F.col("value"), path), "value"))
+        return self.objects.where(~here).unionByName(new)
+
     def stored(self, key: str, id_: str) -> dict | None:
         row = self.objects.where((F.col("key") == key) & (F.col("id") == id_) & F.col("lat").isNotNull()).select("lat", "lon", "geom").first()
         if row is None:
@@ -132,12 +240,16 @@ class Engine:
                 words.take()
                 by = areas.area(words, self.stored)
                 p.area = areas.shape_area(geo.clip(p.area.shape, (by.box[1], by.box[0], by.box[3], by.box[2])))
-        if words.at < len(words.words):
-            raise ValueError(f"invalid argument {words.words[words.at]!r}")
+            if words.peek() == "BUFFER":
+                words.take()
+                p.area = areas.shape_area(overlay.buffered(p.area.shape, words.number(0)))
+        words.end()
         if p.sparse and (p.cursor or p.limit):
             raise ValueError("SPARSE excludes CURSOR and LIMIT")
         if p.limit is None and p.output != "COUNT":
             p.limit = DEFAULT_LIMIT
+        if p.limit is not None and p.limit >= NO_LIMIT:
+            p.limit = None
         return p
 
     def range_test(self, words: areas.Words) -> Column:
@@ -167,9 +279,9 @@ class Engine:
         order = {"SEARCH": ["value", "id"], "NEARBY": ["dist", "id"]}.get(p.command, ["id"])
         if p.area:
             rows = rows.where(F.col("lat").isNotNull())
-            rows = rows.where(spatial_test("INTERSECTS" if p.command == "NEARBY" else p.command, p.area)) if p.command != "NEARBY" or p.area.meters is not None else rows
+            rows = met(rows, "INTERSECTS" if p.command == "NEARBY" else p.command, p.area) if p.command != "NEARBY" or p.area.meters is not None else rows
         if p.area and p.area.centre:
-            rows = rows.withColumn("dist", geodesy.haversine_m("lat", "lon", *p.area.centre))
+            rows = with_distance(rows, *p.area.centre)
         if p.sparse:
             rows = thinned(rows, p.area.box, p.sparse)
         order = [F.col(c).desc() if p.descending else F.col(c).asc() for c in order]
@@ -183,7 +295,8 @@ class Engine:
         if p.output == "COUNT":
             rows = rows.limit(p.limit) if p.limit else rows
             return rows.agg(F.count("*").alias("count"))
-        rows = rows.orderBy(*order).limit(p.limit)
+        rows = rows.orderBy(*order)
+        rows = rows.limit(p.limit) if p.limit else rows
         return rows.select("id", *self.outputs(p, rows))
 
     def outputs(self, p: Plan, rows: DataFrame) -> list[Column]:
@@ -199,8 +312,7 @@ class Engine:
         elif p.output == "HASHES":
             out = [cells.geohash("lat", "lon", p.precision).alias("hash")]
         elif p.output == "BOUNDS":
-            corner = lambda i, c: F.coalesce(geo.over(lambda g: float(geo.bounds(g)[i]), "double")("geom"), F.col(c))
-            out = [corner(1, "lat").alias("min_lat"), corner(0, "lon").alias("min_lon"), corner(3, "lat").alias("max_lat"), corner(2, "lon").alias("max_lon")]
+            out = [c.alias(name) for name, c in corners().items()]
         if p.fields and p.output != "IDS":
             out.append(F.col("fields"))
         if p.distance and "dist" in rows.columns:
@@ -243,7 +355,10 @@ class Engine:
 
     def cmd_bounds(self, words: areas.Words) -> DataFrame:
         rows = self.objects.where((F.col("key") == words.take()) & F.col("lat").isNotNull())
-        return rows.agg(F.min("lat").alias("min_lat"), F.min("lon").alias("min_lon"), F.max("lat").alias("max_lat"), F.max("lon").alias("max_lon"))
+        point = {"min_lat": F.col("lat"), "min_lon": F.col("lon"), "max_lat": F.col("lat"), "max_lon": F.col("lon")}
+        of = lambda rows, box: rows.select(*[c.alias(name) for name, c in box.items()])
+        boxes = of(rows.where("geom is null"), point).unionByName(of(rows.where("geom is not null"), corners()))
+        return boxes.agg(*[(F.min if name.startswith("min") else F.max)(name).alias(name) for name in point])
 
     def cmd_stats(self, words: areas.Words) -> DataFrame:
         keys = [words.take()]
@@ -294,11 +409,30 @@ def any_of(tests: list[Column]) -> Column:
     return out
 
 
-def spatial_test(command: str, area: areas.Area) -> Column:
-    """Points by Column expressions; other geometries by a kernel, behind a test of their presence."""
-    wkb = F.lit(geo.to_wkb(area.shape))
+def corners() -> dict[str, Column]:
+    """The box of any object, by a kernel over its geometry."""
+    side = lambda i, c: F.coalesce(geo.over(lambda g: float(geo.bounds(g)[i]), "double")("geom"), F.col(c))
+    return {"min_lat": side(1, "lat"), "min_lon": side(0, "lon"), "max_lat": side(3, "lat"), "max_lon": side(2, "lon")}
+
+
+def with_distance(rows: DataFrame, lat: float, lon: float) -> DataFrame:
+    """Add dist: metres to a point, or to the box of any other geometry (0 within). Only rows with a geometry meet the kernel."""
+    points = rows.where("geom is null").withColumn("dist", geodesy.haversine_m("lat", "lon", lat, lon))
+    box = corners()
+    shapes = rows.where("geom is not null").withColumns({f"__{c}": x for c, x in box.items()})
+    shapes = shapes.withColumn("dist", geodesy.point_rect_m(F.lit(lat), F.lit(lon), *[F.col(f"__{c}") for c in box])).drop(*[f"__{c}" for c in box])
+    return points.unionByName(shapes)
+
+
+def met(rows: DataFrame, command: str, area: areas.Area) -> DataFrame:
+    """Rows within or meeting an area: points by Column expressions alone, other geometries by a kernel, after their stored boxes if the table has these."""
     kernel = geo.st_within if command == "WITHIN" else geo.st_intersects
-    return F.when(F.col("geom").isNull(), area.point(F.col("lat"), F.col("lon"))).otherwise(kernel(F.col("geom"), wkb))
+    points = rows.where(F.col("geom").isNull() & area.point(F.col("lat"), F.col("lon")))
+    shapes = rows.where("geom is not null")
+    if {"min_lat", "min_lon", "max_lat", "max_lon"} <= set(rows.columns):
+        a, o, b, p = area.box
+        shapes = shapes.where((F.col("min_lat") <= b) & (F.col("max_lat") >= a) & ((F.col("min_lon") <= p) & (F.col("max_lon") >= o) | F.lit(o > p or p > 180 or o < -180)))
+    return points.unionByName(shapes.where(kernel(F.col("geom"), F.lit(geo.to_wkb(area.shape)))))
 
 
 def thinned(rows: DataFrame, box: tuple, level: int) -> DataFrame:

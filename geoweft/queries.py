@@ -5,16 +5,16 @@ The tables have no coordinates: these are derived from keys by integer arithmeti
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells, geodesy, globs, projections, rings, tiles, values
-from .operators import aggregates, catalog, fences, graph, joins, raster, search, tracks
+from .operators import aggregates, catalog, fences, graph, joins, raster, search, store, tracks
 from .plans import commands, where
 from .plans import points as texts
+from .shared import shared_dir
 from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,9 +37,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Let checkpoint() write to the cluster's shared folder; to a local one only where none is named, as in tests."""
+    """Let checkpoint() write to the cluster's shared folder."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="geoweft-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def coordinate(key: str, step: int, size: int, low: float) -> Column:
@@ -197,7 +197,7 @@ def spatial_stats(spark, d):
 
 @query(f"WITH {PTS} SELECT collection, count(*) AS n FROM pts GROUP BY 1")
 def count_by_collection(spark, d):
-    return points(spark, d).groupBy("collection").agg(F.count("*").alias("n"))
+    return aggregates.statistics(points(spark, d), "collection").select("collection", "n")
 
 
 @query(f"WITH {PTS} SELECT collection, min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon FROM pts GROUP BY 1")
@@ -326,7 +326,7 @@ def fence_transitions(spark, d):
 @query(f"""WITH {DETECTED}, said AS (SELECT seq, hook, detect AS message FROM detected UNION ALL SELECT seq, hook, 'inside' FROM detected WHERE detect = 'enter' UNION ALL SELECT seq, hook, 'outside' FROM detected WHERE detect IN ('exit', 'cross'))
  SELECT message, hook, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM said WHERE message IN ('enter', 'exit', 'cross', 'inside') GROUP BY ALL""")
 def fence_events_detect(spark, d):
-    rows = fences.messages(fences.observed(fences.with_last(positions(spark, d)), zones(spark, d)), ["enter", "exit", "cross", "inside"])
+    rows = fences.messages(fences.passed(fences.with_last(positions(spark, d)), zones(spark, d)), ["enter", "exit", "cross", "inside"])
     return rows.groupBy("message", "hook").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
@@ -359,7 +359,10 @@ def scan_page(spark, d):
 @query("SELECT p_name AS id, p_type AS value FROM part WHERE p_type LIKE 'STANDARD%' ORDER BY p_type, p_partkey")
 def search_values_range(spark, d):
     p = load(spark, d, "part")
-    return p.where(globs.matches(F.col("p_type"), ["STANDARD*"])).orderBy("p_type", "p_partkey").select(F.col("p_name").alias("id"), F.col("p_type").alias("value"))
+    empty = F.create_map().cast(f"map<string, {values.VALUE}>").alias("fields")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    texts_ = p.select(F.lit("parts").alias("key"), F.col("p_name").alias("id"), none("lat", "double"), none("lon", "double"), F.lit(0.0).alias("z"), F.col("p_type").alias("value"), empty, none("geom", "binary"), F.lit(0).cast("long").alias("expires"))
+    return commands.Engine(texts_).run("SEARCH parts LIMIT 1000000000000 MATCH STANDARD* NOFIELDS OBJECTS").select("id", "value")
 
 
 @query("SELECT c_name AS id FROM customer WHERE regexp_matches(c_name, '^Customer#0000000[1-3].[02468]$') OR c_name LIKE '%77'")
@@ -369,7 +372,7 @@ def match_glob(spark, d):
 
 @query(f"WITH {PTS} SELECT name AS id FROM pts WHERE bal > 1000 AND bal <= 5000.5 AND nation >= 3")
 def where_range(spark, d):
-    return commands.Engine(objects(spark, d)).run("SCAN fleet LIMIT 100000000 WHERE bal (1000 5000.5 WHERE nation >= 3 IDS")
+    return commands.Engine(objects(spark, d)).run("SCAN fleet LIMIT 1000000000000 WHERE bal (1000 5000.5 WHERE nation >= 3 IDS")
 
 
 @query(f"WITH {PTS} SELECT count(*) AS count FROM pts WHERE nation IN (0, 3, 7) AND lower(collection) IN ('building', 'furniture')")
@@ -433,21 +436,21 @@ def set_merge_lww(spark, d):
 
 @query("SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer WHERE c_name NOT LIKE '%5' AND NOT regexp_matches(c_name, '1.3$')")
 def pdel_glob(spark, d):
-    c = load(spark, d, "customer").where(~globs.matches(F.col("c_name"), ["*5", "*1?3"]))
-    return c.agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
+    c = load(spark, d, "customer").select(F.lit("c").alias("key"), F.col("c_name").alias("id"), "c_custkey")
+    return store.delete(c, "c", patterns=["*5", "*1?3"]).agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 200000)")
 def orphans_anti_join(spark, d):
     o = load(spark, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 200000").select("o_custkey")
-    return load(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"))
+    return catalog.without_dependants(load(spark, d, "customer"), "c_custkey", o, "o_custkey").select(F.col("c_custkey").alias("id"))
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_brand LIKE 'Brand#2%' AND lower(p_type) LIKE '%m%'")
 def tag_filter(spark, d):
     tags = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"))
-    p = load(spark, d, "part").select("p_partkey", tags.alias("tags"))
-    return p.where(F.map_contains_key("tags", F.lit("brand")) & F.col("tags")["brand"].like("Brand#2%") & F.col("tags")["type"].ilike("%M%")).select(F.col("p_partkey").alias("id"))
+    p = catalog.records(load(spark, d, "part").select("p_partkey", tags.alias("tags")), tags={"brand": "Brand#2*", "type": None})
+    return p.where(catalog.like(F.col("tags")["type"], "*M*", any_case=True)).select(F.col("p_partkey").alias("id"))
 
 
 @query("""WITH r AS (SELECT o_custkey AS grp, o_orderkey AS idx, o_orderstatus AS s, substr(o_orderpriority, 1, 1) AS p FROM orders), t AS (SELECT grp, idx, 'status' AS k, s AS v FROM r UNION ALL SELECT grp, idx, 'priority', p FROM r),
@@ -583,8 +586,8 @@ def quadrant_counts(spark, d):
 
 @query(f"WITH {POS}, l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) AS n FROM pos) SELECT id, seq, lat, lon FROM l WHERE n = 1")
 def last_point(spark, d):
-    p = positions(spark, d)
-    return p.groupBy("id").agg(F.max_by(F.struct("seq", "lat", "lon"), F.struct("ts", "seq")).alias("p")).select("id", "p.*")
+    log = positions(spark, d).select("id", F.struct("ts", "seq").alias("at"), "seq", "lat", "lon", F.lit(False).alias("deleted"))
+    return search.last_write(log, ["id"], seq="at").select("id", "seq", "lat", "lon")
 
 
 @query("SELECT o_custkey AS record, CAST(count(*) AS INTEGER) AS n, CAST(arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS BIGINT) AS first FROM orders GROUP BY 1")
@@ -625,3 +628,6 @@ def record_filters(spark, d):
 def layout_cells(spark, d):
     boxes = points(spark, d).select("id", F.col("lon").alias("min_x"), F.col("lat").alias("min_y"), (F.col("lon") + 3).alias("max_x"), (F.col("lat") + 1.5).alias("max_y"))
     return catalog.layout_cells(boxes, 2.0).select("id", "cell", "x0", "y1")
+
+
+from . import queries_more as _more  # noqa: E402, F401  (registers its queries)
