@@ -92,9 +92,13 @@ def repeated(docs: DataFrame, min_words: int = 10, short_lines: bool = False) ->
 
 
 def without_repeats(docs: DataFrame, min_words: int = 10, short_lines: bool = False) -> DataFrame:
-    """The documents, all columns, with gw_clean (the text without later occurrences) and gw_spans (removed start, stop offsets, in order)."""
-    cut = repeated(docs, min_words, short_lines).groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gw_spans")).withColumnRenamed("row_key", "gw_cut")
-    rows = docs.withColumn("gw_row", F.xxhash64("doc_id", "text")).join(cut, F.col("gw_row") == F.col("gw_cut"), "left").drop("gw_row", "gw_cut")
+    """The documents, all columns, with gw_clean (the text without later occurrences) and gw_spans (removed start, stop offsets, in order).
+
+    These replace columns of the same names; all others stay as they are.
+    """
+    docs = docs.drop("gw_clean", "gw_spans")
+    cut = repeated(docs, min_words, short_lines).groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gw_spans"))
+    rows = docs.join(cut, F.xxhash64(docs["doc_id"], docs["text"]) == cut["row_key"], "left").select(*[docs[f"`{c}`"] for c in docs.columns], cut["gw_spans"])
     none = F.array().cast("array<struct<start:int,stop:int>>")
     spans = F.coalesce("gw_spans", none)
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))

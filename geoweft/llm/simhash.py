@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 from .components import components
 
 RADIUS, BLOCKS, TILE, CHUNK = 4, 6, 256, 1024
@@ -39,7 +39,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, gw_text (hash of the text) and gw_fp of every row; words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(b.column("text"), "").cast(pa.large_string())))
             texts = (" ".join(w for w in x if w).encode() if "" in x else " ".join(x).encode() for x in (y.as_py() for y in lists))
             found = pa.array([fingerprint(t, shingle) for t in texts], pa.int64())
@@ -205,10 +205,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) ->
 def deduplicated(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) -> DataFrame:
     """The documents, all columns, with one row of each component left: its smallest doc_id, then its least text hash.
 
-    Null ids come after all others; rows equal in doc_id and text count as one.
+    Null ids come after all others; rows equal in doc_id and text count as one. Columns of any name stay as they are.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("gw_late"), F.col("doc_id").alias("gw_id"), F.col("gw_text"))
     best = grouped(docs, shingle, radius).groupBy("gw_root").agg(F.min(rank).alias("gw_best")).select("gw_best.gw_id", F.col("gw_best.gw_text").alias("gw_hash"))
-    rows = docs.withColumn("gw_text", F.xxhash64("text"))
-    rows = rows.join(best, F.col("doc_id").eqNullSafe(F.col("gw_id")) & (F.col("gw_text") == F.col("gw_hash")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "gw_text"]).select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(best["gw_id"]) & (F.xxhash64(docs["text"]) == best["gw_hash"])
+    return docs.join(best, same, "left_semi").dropDuplicates(["doc_id", "text"])
