@@ -5,7 +5,9 @@ left to the metadata. The metadata view has source, language and stated length.
 
 Both start from labelled rows. In each round, each view labels the unlabelled documents it is confident about, and the other view takes
 Newton steps on its labelled rows plus these. Every document takes part: tasks send sums of gradients and curvatures (as large as the
-model, whatever the corpus). A class's pseudo-labels together weigh at most `share` of its true labels. At the end, both
+model, whatever the corpus). What a view is confident about is measured, not assumed: beyond its limit for a class, at least `sure` of the
+labelled rows that were kept out of training have that class; a view without such a limit hands on nothing of the class. A class's
+pseudo-labels together weigh at most `share` of its true labels. At the end, both
 views' log-odds are calibrated and combined by a logistic fit on labelled rows that were kept out of training.
 """
 
@@ -157,7 +159,19 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
 
 
-def pseudo_sums(table: DataFrame, views: tuple[View, View], sure: float) -> list[list[tuple[float, np.ndarray, np.ndarray]]]:
+def limits(odds: np.ndarray, y: np.ndarray, sure: float) -> tuple[float, float]:
+    """Log-odds up to which a row counts as bad for sure, and from which as good: the widest ranges whose rows, with one of each class
+    added, are of the class in a share of `sure`; infinite if there is none."""
+    out = []
+    for z, hit in ((-odds, y == 0), (odds, y == 1)):
+        order = np.argsort(-z, kind="stable")
+        share = (np.cumsum(hit[order]) + 1) / (np.arange(1, len(z) + 1) + 2)
+        last = np.flatnonzero((share >= sure) & np.append(z[order][1:] < z[order][:-1], True)) if len(z) else np.zeros(0, int)
+        out.append(float(z[order][last[-1]]) if len(last) else np.inf)
+    return -out[0], out[1]
+
+
+def pseudo_sums(table: DataFrame, views: tuple[View, View], sides: list[tuple[float, float]]) -> list[list[tuple[float, np.ndarray, np.ndarray]]]:
     """For each view and class: count, gradient and curvature over the unlabelled documents of which the other view is sure."""
     dims = [len(v.weights) for v in views]
     each = [1 + d + d * d for d in dims]
@@ -168,11 +182,11 @@ def pseudo_sums(table: DataFrame, views: tuple[View, View], sure: float) -> list
             if not b.num_rows:
                 continue
             x = [v.rows(matrix(b.column(c))) for v, c in zip(views, "ab", strict=True)]
-            p = [chance(m @ v.weights) for m, v in zip(x, views, strict=True)]
+            odds = [m @ v.weights for m, v in zip(x, views, strict=True)]
             at = 0
             for i in (0, 1):
                 for y in (0, 1):
-                    who = p[1 - i] >= sure if y else p[1 - i] <= 1 - sure
+                    who = odds[1 - i] >= sides[1 - i][1] if y else odds[1 - i] <= sides[1 - i][0]
                     g, h = derivatives(x[i][who], np.full(int(who.sum()), float(y)), views[i].weights)
                     total[at : at + each[i]] += np.concatenate([[who.sum()], g, h.ravel()])
                     at += each[i]
@@ -227,7 +241,7 @@ def cotrained(table: DataFrame, labels: DataFrame, rows: int = 8000, rounds: int
     unlabelled = table.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select("a", "b")
     for _ in range(rounds):
         for _ in range(steps):
-            sums = pseudo_sums(unlabelled, (views[0], views[1]), sure)
+            sums = pseudo_sums(unlabelled, (views[0], views[1]), [limits(v.odds(m[apart]), y[apart], sure) for v, m in zip(views, x, strict=True)])
             for i, v in enumerate(views):
                 g, h = derivatives(v.rows(x[i][train]), y[train], v.weights)
                 for cls, (n, pg, ph) in enumerate(sums[i]):

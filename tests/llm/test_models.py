@@ -202,3 +202,13 @@ def test_quality_without_labels(spark):
     got = quality.judged(docs, quality.cotrain(docs, none))
     assert got.where("gw_keep").count() == docs.count() and got.where(F.col("gw_score").isNotNull()).count() == 0
     assert quality.judged(frame(spark, []), None).count() == 0
+
+
+def test_limits_are_measured():
+    odds = np.array([5.0, 4.0, 3.0, 2.0, 1.0, -1.0, -2.0, -3.0])
+    assert quality.limits(odds, np.array([1, 1, 1, 1, 0, 0, 0, 0]), 0.8) == (1.0, 2.0)
+    assert quality.limits(odds, np.array([1, 0, 1, 0, 1, 0, 1, 0]), 0.9) == (-math.inf, math.inf)
+    assert quality.limits(np.zeros(0), np.zeros(0), 0.9) == (-math.inf, math.inf)
+    many, good = np.arange(1000.0), np.arange(1000) >= 300
+    low, high = quality.limits(many, good.astype(float), 0.99)
+    assert low >= 299 and high <= 300 and (good[many >= high].sum() + 1) / ((many >= high).sum() + 2) >= 0.99
