@@ -6,8 +6,9 @@ least `KEYS` miss each other with a chance below 0.0001. Texts that share a key
 (beyond it by chance: 0.0002 at 0.8), then by their whole shingle sets.
 
 A key that many texts share (a common passage) is left to texts that have too few other keys. What stays is split into parts: first
-each part links its own texts; then the closest pair of every two groups that are still apart is verified; last, what is
-still apart is compared part by part. So a group of copies is joined without listing its pairs, and no link is lost.
+each part links its own texts; then the texts with most links of every part's groups are compared, which joins what
+belongs to one original; last, texts of groups that are still apart meet part by part. No link is lost, and no pair is listed: a text
+stands at most once in each tile, and tiles are verified whole.
 """
 
 from __future__ import annotations
@@ -143,25 +144,6 @@ def involved(keyed: DataFrame, least: float, radius: int) -> DataFrame:
     return by_tile(keyed, KEYED).mapInArrow(run, "gw_key bigint, gw_tile bigint, gw_text bigint")
 
 
-def closest(keyed: DataFrame, least: float, radius: int) -> DataFrame:
-    """gw_key, gw_tile, gw_text of the closest pair of every two classes that have a near pair; each pair is a tile of its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tile_by_tile(batches):
-            i, j = near_in(b, least, radius)
-            text, kind, fp = (b.column(c).to_numpy() for c in ("gw_text", "gw_class", "gw_fp"))
-            far = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
-            order = np.lexsort((far, np.maximum(kind[i], kind[j]), np.minimum(kind[i], kind[j])))
-            i, j, far = i[order], j[order], far[order]
-            a, z = np.minimum(kind[i], kind[j]), np.maximum(kind[i], kind[j])
-            best = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (z[1:] != z[:-1])))) if len(a) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(x[best]) for x in (a, z, far, text[i], text[j])], names=["a", "z", "far", "u", "v"])
-
-    pairs = by_tile(keyed, KEYED).mapInArrow(run, "a bigint, z bigint, far bigint, u bigint, v bigint")
-    pairs = pairs.groupBy("a", "z").agg(F.min(F.struct("far", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
-    return pairs.select(F.xxhash64("u", "v").alias("gw_key"), F.lit(-1).cast("long").alias("gw_tile"), F.explode(F.array("u", "v")).alias("gw_text"))
-
-
 def by_tile(rows: DataFrame, kind: str) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [x.split()[0] for x in kind.split(", ")]
@@ -186,7 +168,7 @@ def alike(h: np.ndarray, at: np.ndarray, least: float) -> tuple[np.ndarray, np.n
 
 
 def verified(members: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links (u, v) within each tile of members (gw_key, gw_tile, gw_text) that join all its texts whose sets are alike."""
+    """Links (u, v) within each tile of members (gw_key, gw_tile, gw_text) that join all its texts whose sets are alike; v is the text with most links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tile_by_tile(batches, CHUNK // 8):
@@ -198,11 +180,14 @@ def verified(members: DataFrame, texts: DataFrame, shingle: int, least: float) -
             for s, e in zip(new, np.append(new[1:], len(key)), strict=True):
                 own = np.unique(of[s:e])
                 part = [h[at[k] : at[k + 1]] for k in own]
-                label = least_labels(len(own), *alike(np.concatenate(part), np.concatenate(([0], np.cumsum([len(x) for x in part]))), least))
-                far = np.flatnonzero(label != np.arange(len(own)))
-                ids = text[one[own]]
+                i, j = alike(np.concatenate(part), np.concatenate(([0], np.cumsum([len(x) for x in part]))), least)
+                label, ids = least_labels(len(own), i, j), text[one[own]]
+                degree = np.bincount(np.concatenate([i, j]), minlength=len(own))
+                order = np.lexsort((ids, -degree, label))
+                hub = order[np.searchsorted(label[order], label)]
+                far = np.flatnonzero(hub != np.arange(len(own)))
                 us.append(ids[far])
-                vs.append(ids[label[far]])
+                vs.append(ids[hub[far]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], names=["u", "v"])
 
     rows = by_tile(members.join(texts, "gw_text"), "gw_key bigint, gw_tile bigint, gw_text bigint, text string")
@@ -255,10 +240,16 @@ def links(marks: DataFrame, docs: DataFrame, shingle: int, least: float, radius:
     edges = checked(involved(parted(keyed, False), least, radius), "similar-links")
     if not n_hot or parts.where("gw_parts > 1").isEmpty():
         return edges
-    for step in (closest, involved):
+
+    def classed() -> DataFrame:
         roots = components(edges).select(F.col("u").alias("gw_text"), F.col("v").alias("gw_root"))
-        known = keyed.where("gw_parts > 1").join(roots, "gw_text", "left").withColumn("gw_class", F.coalesce("gw_root", "gw_text"))
-        edges = written(edges.union(checked(step(parted(known, True), least, radius), "similar-more")), "similar-links")
+        return keyed.where("gw_parts > 1").join(roots, "gw_text", "left").withColumn("gw_class", F.coalesce("gw_root", "gw_text"))
+
+    hubs = classed().join(edges.select(F.col("v").alias("gw_text")).distinct(), "gw_text", "left_semi").drop("gw_parts")
+    fewer = hubs.groupBy("gw_key").agg(F.ceil(F.count("*") / tile).cast("int").alias("gw_parts"))
+    for rows, across in ((hubs.join(fewer, "gw_key"), False), (None, True)):
+        found = checked(involved(parted(classed() if across else rows, across), least, radius), "similar-more")
+        edges = written(edges.union(found), "similar-links")
     return edges
 
 
