@@ -165,6 +165,53 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(frame(spark, []), *toxicity.fit(docs, none, words=64)).count() == 0
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """The 10 000 ids with the least hash are all harmless; what is toxic is only in the others."""
+    ids = [r["doc_id"] for r in spark.range(11_000).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("id"), "id").collect()]
+    rng, rows, labels = random.Random(3), [], []
+    for i, d in enumerate(ids):
+        toxic = i >= 10_000 and i % 2 == 0
+        rows.append((d, prose(rng, 3) + (" venom" if toxic else ""), "en" if i < 10_000 else "de"))
+        labels.append((d, 1, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    net, cuts = toxicity.fit(docs, marks, words=1024, epochs=2, block=3000)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, net, cuts).collect()}
+    assert sum(got[d] == t for d, _, t in labels) / len(labels) > 0.999 and list(cuts) == ["de"]
+
+
+def test_toxicity_rows_of_labels(spark):
+    """Every row of a labelled id counts, whichever way the labels are joined, and the counts are those of all training texts."""
+    docs = frame(spark)
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(0, 50, 2)] + [(3, 1, 0), (3, 1, 1), (5, 1, None), (6, 1, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    toxic = {**{i: i % 2 for i in range(0, 50, 2)}, 3: 1, 6: 1}
+    want = Counter((t, lang, toxic[d]) for d, t, lang, *_ in documents() if d in toxic)
+    for few in (0, 100):
+        assert Counter((r["text"], r["lang"], r["toxic"]) for r in toxicity.labelled(docs, marks, few).collect()) == want
+    many = toxicity.labelled(docs, marks)
+    many = many.unionAll(many.limit(1)).unionAll(many.where("false"))
+    seen = np.zeros(2 * 256 + 1, np.int64)
+    for r in many.collect():
+        pairs, ids, _ = toxicity.word_ids(pa.array([r["text"]]), 256)
+        seen[np.unique(pairs[ids])] += 1
+    for parts in (1, 5, 70):
+        blocks = toxicity.in_blocks(many, parts, 256, 4)
+        assert blocks.selectExpr("sum(length(labels) / 8)").first()[0] == many.count()
+        assert (toxicity.hashes_seen(blocks, parts, 256) == seen).all()
+
+
+def test_toxicity_is_the_same_however_rows_lie(spark):
+    rows, labels = insults(600)
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    one, two = (toxicity.fit(d, marks, words=512, epochs=2, block=100) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one[1] == two[1] and (one[0].embed == two[0].embed).all() and (one[0].scale, one[0].offset) == (two[0].scale, two[0].offset)
+
+
+def test_averages_of_blocks():
+    part = lambda idx, weight, val: (np.array(idx, np.int32).tobytes(), np.array(weight, np.int64).tobytes(), np.array(val, np.float32).tobytes())
+    idx, n, val = toxicity.averaged([part([3, 1], [1, 2], [[4, 0], [1, 1]]), part([3], [3], [[8, 4]])])
+    assert idx.tolist() == [1, 3] and n.tolist() == [2, 4] and val.tolist() == [[1, 1], [7, 3]]
+
+
 def test_pooling_equals_plain_convolution():
     net = toxicity.Net.first(50, 4, (1, 2, 3), 3)
     texts = pa.array(["a b c d e", "", "x", "one two", None, "b b b b b b b b"])
