@@ -31,3 +31,18 @@ def test_knn_join(spark):
     got = joins.knn_join(table(spark, a, "id long, lat double, lon double"), table(spark, b, "rid long, rlat double, rlon double"), 3, "id", "rid", first_km=300.0).collect()
     found = {i: [r["rid"] for r in sorted((r for r in got if r["id"] == i), key=lambda r: r["rank"])] for i, _, _ in a}
     assert found == {i: [j for _, j in sorted((km((la, lo), (ra, ro)), j) for j, ra, ro in b)[:3]] for i, la, lo in a}
+
+
+def test_dense_rows_do_not_meet_all_within_the_first_radius(spark, monkeypatch):
+    rng = random.Random(7)
+    at = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(84, 90), -90.0]), rng.choice([rng.uniform(-180, 180), rng.uniform(178, 180), -180.0]))
+    a = [(i, *at()) for i in range(150)]
+    b = [(i, *at()) for i in range(1500)] + [(2000 + i, 89.99, 10.0) for i in range(5)]
+    left, right = table(spark, a, "id long, lat double, lon double"), table(spark, b, "rid long, rlat double, rlon double")
+
+    met, radius_join = [], joins.radius_join
+    monkeypatch.setattr(joins, "radius_join", lambda rest, *more, **at: met.append(rest.count()) or radius_join(rest, *more, **at))
+    got = joins.knn_join(left, right, 3, "id", "rid", first_km=5000.0).collect()
+    found = {i: [r["rid"] for r in sorted((r for r in got if r["id"] == i), key=lambda r: r["rank"])] for i, _, _ in a}
+    assert found == {i: [j for _, j in sorted((km((la, lo), (ra, ro)), j) for j, ra, ro in b)[:3]] for i, la, lo in a}
+    assert sum(met) <= 4  # two rows lie in a cell with two others
