@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geoweft import queries_more
 from geoweft.functions import documents, overlay, projections
 from geoweft.functions import geometry as geo
 from geoweft.plans import points
@@ -117,3 +118,9 @@ def test_point_texts(spark):
             points.run(df, bad)
     with pytest.raises(ValueError):
         points.parse_filter("id == ")
+
+
+def test_plane_points_compares_latitudes_like_its_sql(spark, monkeypatch):
+    lats = [92.999 - 90, 93.001 - 90, 2.999, 3.001, 3.0]  # the first two are just outside
+    monkeypatch.setattr(queries_more, "points", lambda s, d: s.createDataFrame(list(enumerate(lats)), "id int, lat double").withColumn("lon", F.lit(5.0)))
+    assert [r["near"] for r in queries_more.plane_points(spark, "").orderBy("id").collect()] == [False, False, True, True, True]
