@@ -10,12 +10,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType, TimestampType
 
 from ..functions.geodesy import EARTH_KM, haversine_km
 from ..shared import settled
 
 HALF_ROUND = math.pi * EARTH_KM
 SMALL = 10_000  # rows of a table that may be broadcast whole
+UNIT = 20_000_000  # pairs of one cell that are compared in one place
 LEVELS = 14  # halvings of the first radius that k-nearest joins count right rows at
 
 
@@ -51,15 +53,39 @@ def touched_cells(lat: Column, lon: Column, km: Column, step: float | Column) ->
 def radius_join(left: DataFrame, right: DataFrame, km, left_at: tuple[str, str] = ("lat", "lon"), right_at: tuple[str, str] = ("rlat", "rlon"), out: str = "dist_km", step: float | None = None) -> DataFrame:
     """Pairs of rows at most `km` apart (a number, or a column of the right side), with their distance. The sides share no column name.
 
-    `step` is the band height in degrees; by default that of the radius. Rows without coordinates join nothing.
+    `step` is the band height in degrees; by default that of the radius. Rows without coordinates join nothing. Where a number of km and more
+    than SMALL right rows are given, cells with many pairs are cut into parts of the left rows, and parts are dealt over tasks by their pairs.
     """
+    even = isinstance(km, (int, float)) and right.limit(SMALL + 1).count() > SMALL
     radius = F.lit(float(km)) if isinstance(km, (int, float)) else F.col(km)
-    step = step or max(0.001, min(45.0, math.degrees(km / EARTH_KM) if isinstance(km, (int, float)) else 1.0))
+    if step is None:
+        # half the radius where sides are large: more copies of the right rows, but fewer pairs beyond the radius
+        step = max(0.001, min(45.0, math.degrees(km / EARTH_KM) / (2 if even else 1) if isinstance(km, (int, float)) else 1.0))
     at = [F.col(c) for c in (*left_at, *right_at)]
     a = left.where(at[0].isNotNull() & at[1].isNotNull()).withColumn("__cell", own_cell(at[0], at[1], step))
     b = right.where(at[2].isNotNull() & at[3].isNotNull()).withColumn("__touched", F.explode(touched_cells(at[2], at[3], radius, step)))
-    pairs = a.join(b, (F.col("__cell.band") == F.col("__touched.band")) & (F.col("__cell.x") == F.col("__touched.x")))
-    return pairs.withColumn(out, haversine_km(*at)).where(F.col(out) <= radius).drop("__cell", "__touched")
+    on = (F.col("__cell.band") == F.col("__touched.band")) & (F.col("__cell.x") == F.col("__touched.x"))
+    if even:
+        a, b = dealt(a, b)
+        on = (F.col("__a") == F.col("__b")) & (F.col("__apart") == F.col("__bpart"))
+    pairs = a.join(b, on)
+    return pairs.withColumn(out, haversine_km(*at)).where(F.col(out) <= radius).drop("__cell", "__touched", "__a", "__b", "__apart", "__bpart")
+
+
+def dealt(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides by cell and part. A cell of more than UNIT pairs has several parts: each holds a share of the left rows and all right rows."""
+    name = lambda c: F.col(f"{c}.band").cast("long") * F.lit(1 << 32) + F.col(f"{c}.x")
+    a, b = a.withColumn("__a", name("__cell")), b.withColumn("__b", name("__touched"))
+    m, n = a.groupBy(F.col("__a").alias("__of")).agg(F.count("*").alias("__m")), b.groupBy(F.col("__b").alias("__of")).agg(F.count("*").alias("__n"))
+    pairs = F.col("__m").cast("double") * F.col("__n")
+    cells = settled(m.join(n, "__of").select("__of", pairs.alias("__pairs"), F.ceil(pairs / UNIT).cast("int").alias("__parts")), "cell-pairs")
+    total = cells.agg(F.sum("__pairs")).first()[0] or 0.0
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, math.ceil(total / (5 * UNIT))))
+    plain = [f.name for f in a.schema if isinstance(f.dataType, (NumericType, StringType, TimestampType))]  # a repeated task deals rows alike
+    hot = cells.where("__parts > 1").select("__of", "__parts")  # no more than one for each UNIT of pairs
+    a = a.join(F.broadcast(hot), F.col("__a") == F.col("__of"), "left").withColumn("__apart", F.pmod(F.xxhash64(*plain), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__of", "__parts")
+    b = b.join(F.broadcast(hot), F.col("__b") == F.col("__of"), "left").withColumn("__bpart", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__of", "__parts")
+    return a.repartition(tasks, "__a", "__apart"), b.repartition(tasks, "__b", "__bpart")
 
 
 def level_step(level: Column, top: float) -> Column:
@@ -147,8 +173,7 @@ def adjacency(sites: DataFrame, key: str, km: float, lat: str = "lat", lon: str
     """Both directions of every pair of sites nearer than `km`: site, neighbour, dist_km."""
     a = sites.select(F.col(key).alias("site"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
     b = sites.select(F.col(key).alias("neighbour"), F.col(lat).alias("rlat"), F.col(lon).alias("rlon"))
-    pairs = radius_join(a, b, km).where((F.col("site") < F.col("neighbour")) & (F.col("dist_km") < km)).select("site", "neighbour", "dist_km")
-    return pairs.unionByName(pairs.select(F.col("neighbour").alias("site"), F.col("site").alias("neighbour"), "dist_km"))
+    return radius_join(a, b, km).where((F.col("site") != F.col("neighbour")) & (F.col("dist_km") < km)).select("site", "neighbour", "dist_km")
 
 
 def box_join(left: DataFrame, right: DataFrame, step: float = 1.0) -> DataFrame:

@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from geoweft.operators import joins
 
 
@@ -46,3 +48,18 @@ def test_dense_rows_do_not_meet_all_within_the_first_radius(spark, monkeypatch):
     found = {i: [r["rid"] for r in sorted((r for r in got if r["id"] == i), key=lambda r: r["rank"])] for i, _, _ in a}
     assert found == {i: [j for _, j in sorted((km((la, lo), (ra, ro)), j) for j, ra, ro in b)[:3]] for i, la, lo in a}
     assert sum(met) <= 4  # two rows lie in a cell with two others
+
+
+def test_a_crowded_cell_is_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SMALL", 10)
+    monkeypatch.setattr(joins, "UNIT", 500)
+    rng = random.Random(8)
+    a = [(i, rng.choice([rng.uniform(-90, 90), 89.9]), rng.uniform(-180, 180)) for i in range(300)] + [(900, None, 1.0)]
+    b = [(i, rng.choice([rng.uniform(-90, 90), 89.8]), rng.uniform(-180, 180)) for i in range(120)]
+    left, right = table(spark, a, "id long, lat double, lon double"), table(spark, b, "rid long, rlat double, rlon double")
+    for r in (50.0, 700.0, 6000.0):
+        got = [(x["id"], x["rid"]) for x in joins.radius_join(left, right, r).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i, la, lo in a if la is not None for j, ra, ro in b if km((la, lo), (ra, ro)) <= r}
+    x, y = joins.dealt(left.dropna().withColumn("__cell", joins.own_cell(F.col("lat"), F.col("lon"), 5.0)), right.withColumn("__touched", joins.own_cell(F.col("rlat"), F.col("rlon"), 5.0)))
+    sides = x.groupBy("__a", "__apart").count().join(y.groupBy(F.col("__b").alias("__a"), F.col("__bpart").alias("__apart")).agg(F.count("*").alias("n")), ["__a", "__apart"])
+    assert sides.agg(F.max(F.col("count") * F.col("n"))).first()[0] < 1500 < 100 * 40
