@@ -86,3 +86,15 @@ def test_planar_edges(spark):
     assert r["m"]["slope"] is None and (r["p"]["x"], r["p"]["y"]) == (1.0, 2.0) and r["c"]["radius"] is None and r["n"]
     with pytest.raises(ValueError):
         planar.affine_inverse((0.0, 1.0, 2.0, 0.0, 2.0, 4.0))
+
+
+def test_json_writes_do_not_multiply_the_plan(engine):
+    e = engine
+    for i in range(6):
+        e = e.write(f"JSET names doc a.b{i} {i}").write(f"JDEL names doc a.b{i - 1}")
+    e = e.write("JSET names doc c text").write("JDEL names n a").write("JDEL names nobody a")
+    assert e.run("JGET names doc").collect() == [('{"a":{"b5":5},"c":"text"}',)]
+    assert e.run("JGET names n").collect() == [("x",)] and e.objects.count() == engine.objects.count() + 1
+    new = e.objects.where("id = 'doc'").first()
+    assert (new["lat"], new["z"], new["geom"], new["fields"], new["expires"]) == (None, 0.0, None, {}, 0)
+    assert e.objects._jdf.queryExecution().analyzed().toString().count("Union") == 1
